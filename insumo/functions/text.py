@@ -17,7 +17,7 @@ LOOKALIKES = {
 }
 # Marks of the trade with a plain spelling; kinds of space; kinds of hyphen; characters without width.
 SIGNS = {"²": "2", "³": "3", "”": '"', "“": '"', "″": '"', "×": "x", "’": "'", "‘": "'", "Ø": "ø", "º": "o", "ª": "a"}
-SPACES = "                 　\t\n\r\x0b\x0c\x85"
+SPACES = "                 　"
 HYPHENS = "‐‑‒–—―−﹘﹣－­"[:-1]
 ZERO_WIDTH = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︀︎️﻿"
 
