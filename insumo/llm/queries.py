@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insumo.functions.text import valid_date
-from insumo.llm import topn, visual
+from insumo.llm import residue, topn, visual
 from insumo.operators.series import latest
 from insumo.sources.tables import table
 
@@ -34,7 +34,17 @@ def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return visual.canonical(_texts(spark, sf)).select("field", "key", "canon")
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p7_found, p7_canonical)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(table(spark, sf, "documents")).select("doc_id").distinct()
+
+
+def p10_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per kind of residue and source; a document may count under several kinds."""
+    docs = table(spark, sf, "documents")
+    return residue.residue(docs).distinct().join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("kind", "source").agg(F.count("*").alias("docs"))
+
+
+QUERIES = {q.__name__: q for q in (p6_found, p7_found, p7_canonical, p10_found, p10_report)}
 ORACLES = {
     "p6_found": """
 with valid as (select * from (select *, row_number() over (partition by id order by ingest_seq desc) as rn from offers where id is not null) where rn = 1),
