@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insumo.functions.text import valid_date
-from insumo.llm import leaks, residue, topn, visual
+from insumo.llm import leaks, mixing, residue, topn, visual
 from insumo.operators.series import latest
 from insumo.sources.tables import table
 
@@ -45,6 +45,15 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("item_id", "task").join(found, "item_id", "left").select("item_id", "task", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most", F.lit(0.0)).alias("most"))
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(mixing.counted(table(spark, sf, "documents")), table(spark, sf, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    tokens, targets = mixing.counted(table(spark, sf, "documents")), table(spark, sf, "mix_target")
+    return mixing.shares(tokens, targets, mixing.mix(tokens, targets))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -55,7 +64,7 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(docs).distinct().join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("kind", "source").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p7_found, p7_canonical, p8_found, p8_items, p10_found, p10_report)}
+QUERIES = {q.__name__: q for q in (p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
 ORACLES = {
     "p6_found": """
 with valid as (select * from (select *, row_number() over (partition by id order by ingest_seq desc) as rn from offers where id is not null) where rn = 1),
