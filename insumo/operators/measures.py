@@ -24,9 +24,10 @@ def _split(quantity: Column) -> list[Column]:
     return [figure.alias("figure"), F.rtrim(F.regexp_replace(F.trim(F.substr(quantity, F.length(figure) + 1)), r"\.$", "")).alias("alias")]
 
 
-def statements(products: DataFrame) -> DataFrame:
+def statements(products: DataFrame, item: Column | None = None) -> DataFrame:
     """One row per stated figure: id, item, origin (name, spec, unit), pos, label measure, figure, alias.
 
+    item: what the row is of; else the first word of its name.
     Names and units state figures with units; a specification states one by a label, with the unit in the value, in the
     label or nowhere. Null or broken JSON and blank texts state nothing."""
     base = products.select(
@@ -34,7 +35,8 @@ def statements(products: DataFrame) -> DataFrame:
         F.regexp_replace(spread_x(fold(F.col("name"))), ALLOY, " ").alias("name"),
         fold(F.col("unit")).alias("unit"),
         F.from_json("specs_json", SPECS).alias("specs"),
-    ).withColumn("item", F.regexp_extract("name", r"^\W*(\w+)", 1))
+        (F.lit(None).cast("string") if item is None else item).alias("item"),
+    ).withColumn("item", F.coalesce("item", F.regexp_extract("name", r"^\W*(\w+)", 1)))
     none = F.lit(None).cast("string")
     quantities = lambda c: F.transform(F.regexp_extract_all(c, F.lit(f"({QUANTITY})"), 1), lambda q, i: F.struct(i.cast("int").alias("pos"), none.alias("measure"), q.alias("text"), F.lit("").alias("fallback")))
     in_name, in_unit = quantities(F.col("name")), quantities(F.col("unit"))
