@@ -8,11 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insumo.functions.text import valid_date
-from insumo.llm import leaks, mixing, residue, topn, visual
+from insumo.llm import leaks, listings, mixing, residue, topn, visual
 from insumo.operators.series import latest
+from insumo.sources.shared import saved
 from insumo.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return listings.same_item_pairs(table(spark, sf, "match_candidate"), table(spark, sf, "product"))
+
+
+def p2_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each listing and product with its item, and how many listings and products that has."""
+    rows = listings.listing_rows(table(spark, sf, "match_candidate")).unionByName(listings.product_rows(table(spark, sf, "product")))
+    keyed = saved(listings.items(listings.features(rows)).distinct(), "item-keys")
+    sizes = keyed.groupBy("item").agg(F.count_if(F.col("side") == "listing").alias("listings"), F.count_if(F.col("side") == "product").alias("products"))
+    return keyed.join(sizes, "item").select("id", "side", "item", "listings", "products")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     valid = latest(table(spark, sf, "offers")).select("product_id", "id", "final_price", "updated_at", "supplier_name")
     valid = valid.filter((F.nanvl("final_price", F.lit(0.0)) > 0) & valid_date(F.col("updated_at")).isNotNull())
@@ -64,7 +77,7 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(docs).distinct().join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("kind", "source").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_items, p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
 ORACLES = {
     "p6_found": """
 with valid as (select * from (select *, row_number() over (partition by id order by ingest_seq desc) as rn from offers where id is not null) where rn = 1),
