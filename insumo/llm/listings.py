@@ -90,7 +90,9 @@ def _measures(rows: DataFrame) -> DataFrame:
     s = statements(rows, F.col("kind")).withColumn("value", figure_value(F.col("figure"))).filter("value is not null")
     s = s.join(as_("t"), F.col("alias") == F.col("t_alias"), "left").join(as_("l"), F.col("fallback") == F.col("l_alias"), "left").join(as_("u"), F.col("unit_alias") == F.col("u_alias"), "left")
     own = Window.partitionBy("product_id")
-    same = Window.partitionBy("product_id", "value")
+    # a bare figure has the unit of the same figure of the same sort in the name
+    sort = lambda c: F.when(c.isin("length", "width", "thickness", "diameter"), "length").when(c.isin("mass", "volume", "content"), "content").otherwise(c)
+    same = Window.partitionBy("product_id", "value", F.when(F.col("origin") == "spec", sort(F.col("measure"))).otherwise(sort(F.col("t_kind"))))
     named = lambda c: F.max(F.when(F.col("origin") == "name", F.col(c))).over(same)
     s = s.repartition("product_id").withColumns({f"n_{c}": named(f"t_{c}") for c in ("kind", "factor")})
     bare_unit = F.when(F.col("origin") == "spec", F.col("u_kind")), F.when(F.col("origin") == "spec", F.col("u_factor"))
