@@ -40,6 +40,11 @@ _FROM = "".join([*_KEPT, *(k for k, v in FOLD.items() if not v)])
 _TO = "".join(_KEPT.values())
 
 
+def plain(c: Column) -> Column:
+    """As fold(), with the case kept."""
+    return F.translate(c, _FROM, _TO)
+
+
 def fold(c: Column) -> Column:
     """One plain lower-case form: accents, full-width forms, look-alike letters and odd spaces folded. NULL stays NULL."""
     return F.lower(F.translate(c, _FROM, _TO))
