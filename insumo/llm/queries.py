@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insumo.functions.text import valid_date
-from insumo.llm import leaks, listings, mixing, residue, topn, visual
+from insumo.llm import leaks, listings, mixing, parties, residue, topn, visual
 from insumo.operators.series import latest
 from insumo.sources.shared import saved
 from insumo.sources.tables import table
@@ -26,6 +26,24 @@ def p2_items(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.join(sizes, "item").select("id", "side", "item", "listings", "products")
 
 
+def _unnamed(spark: SparkSession, sf: str) -> DataFrame:
+    valid = latest(table(spark, sf, "offers").select("id", "ingest_seq", "supplier_id", "supplier_name"))
+    return valid.filter("supplier_id is null and supplier_name is not null").select("id", F.col("supplier_name").alias("name"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return parties.same_party_pairs(table(spark, sf, "suppliers").select("id", "name", "aliases_json"), _unnamed(spark, sf))
+
+
+def p3_parties(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier record with its party and how many records that has."""
+    suppliers = table(spark, sf, "suppliers")
+    names = suppliers.select("id", "name").union(suppliers.select("id", F.explode(F.from_json("aliases_json", "array<string>")).alias("name")))
+    of_record, _ = parties.parties(names, suppliers.select("id", "name").limit(0))
+    of_record = saved(of_record, "record-parties")
+    return of_record.join(of_record.groupBy("party").agg(F.count("*").alias("records")), "party").select("id", "party", "records")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     valid = latest(table(spark, sf, "offers")).select("product_id", "id", "final_price", "updated_at", "supplier_name")
     valid = valid.filter((F.nanvl("final_price", F.lit(0.0)) > 0) & valid_date(F.col("updated_at")).isNotNull())
@@ -77,7 +95,7 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(docs).distinct().join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("kind", "source").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_items, p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_items, p3_found, p3_parties, p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
 ORACLES = {
     "p6_found": """
 with valid as (select * from (select *, row_number() over (partition by id order by ingest_seq desc) as rn from offers where id is not null) where rn = 1),
