@@ -54,27 +54,44 @@ def _grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
     return F.array_distinct(F.transform(each, lambda g: F.xxhash64(g)))
 
 
+def _vectors(names: DataFrame) -> DataFrame:
+    """core, v, n2: the n-grams of each spelling, the rarest first, as numbers that hold the squared weight in their low 16 bits, and
+    the squared norm. Arrays of plain numbers are intersected in compiled code, and the weights come along."""
+    grams = names.select("core", F.explode(_grams(F.col("core"))).alias("g"))
+    df = grams.groupBy("g").agg(F.count("*").alias("df"))
+    weight = F.round(F.pow(F.log(F.col("n") / F.col("df")), 2) * 256).cast("long")
+    total = names.agg((F.count("*") + 1).alias("n"))
+    coded = df.crossJoin(F.broadcast(total)).select("g", F.least(weight, F.lit(65535)).alias("w")).select("g", "w", F.shiftleft("g", 16).bitwiseOR(F.col("w")).alias("code"))
+    v = grams.join(coded, "g").groupBy("core").agg(F.collect_list(F.struct((-F.col("w")).alias("w"), "code")).alias("v"))
+    v = v.select("core", F.transform(F.array_sort("v"), lambda x: x["code"]).alias("v"))
+    return v.withColumn("n2", _norm2(F.col("v"))).filter("n2 > 0")
+
+
+def _norm2(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(65535)))
+
+
+def _postings(vectors: DataFrame, least: float) -> DataFrame:
+    """A row for each n-gram of a vector's prefix: what is left behind the prefix has less than `least` times the norm."""
+    prefix = F.aggregate("v", F.struct(F.col("n2").alias("left"), F.lit(0).alias("n")), lambda s, x: F.when(s["left"] < least * least * F.col("n2"), s).otherwise(F.struct((s["left"] - x.bitwiseAND(F.lit(65535))).alias("left"), (s["n"] + 1).alias("n"))), lambda s: s["n"])
+    return vectors.select("core", "v", "n2", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(1), prefix))).alias("g"))
+
+
 def links(names: DataFrame, least: float = LINKED) -> DataFrame:
-    """a, b, cosine: pairs of different spellings (a < b) whose n-gram vectors have at least this cosine. names: core, distinct.
+    """a, b, cosine: pairs of different spellings (a < b) whose n-gram vectors have at least this cosine, or one of which is a short
+    form of the other (the vector of that form, cosine 1). names: core, distinct.
 
-    Weights are the inverse document frequency over all forms. Only the rarest n-grams of each vector are joined on, as
+    Weights are the inverse document frequency over all spellings. Only the rarest n-grams of each vector are joined on, as
     many as no pair of that cosine can do without (the rest of the vector is shorter than the threshold), so the join is
     complete and common n-grams are never expanded; the cosine itself is taken over whole vectors. All partners are kept.
     Spellings one or two slips apart are linked by an exact check of those that share an n-gram of four letters or more."""
-    forms = saved(names.select("core", F.explode(_forms(F.col("core"))).alias("form")).withColumn("own", F.col("core") == F.col("form")).withColumn("grams", _grams(F.col("form"))), "forms")
-    total = forms.count()
-    df = forms.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    weighted = forms.select("core", "form", "own", F.explode("grams").alias("g")).join(df, "g").withColumn("w2", F.pow(F.log(F.lit(total + 1.0) / F.col("df")), 2))
-    vectors = weighted.groupBy("core", "form", "own").agg(F.array_sort(F.collect_list(F.struct("w2", "g")), lambda x, y: F.when(x["w2"] > y["w2"], -1).when(x["w2"] < y["w2"], 1).when(x["g"] < y["g"], -1).when(x["g"] > y["g"], 1).otherwise(0)).alias("v"))
-    vectors = vectors.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w2"])).filter("n2 > 0")
-    # the prefix ends where what is left has less than least times the norm
-    prefix = F.aggregate("v", F.struct(F.col("n2").alias("left"), F.lit(0).alias("n")), lambda s, x: F.when(s["left"] < least * least * F.col("n2"), s).otherwise(F.struct((s["left"] - x["w2"]).alias("left"), (s["n"] + 1).alias("n"))), lambda s: s["n"])
-    vectors = saved(vectors.withColumn("prefix", F.greatest(F.lit(1), prefix)), "vectors")
-    posting = lambda v: v.select("core", "v", "n2", F.explode(F.slice("v", F.lit(1), F.col("prefix"))).alias("p")).withColumn("g", F.col("p.g")).drop("p")
-    # a full spelling against all forms of the others
-    pairs = posting(vectors.filter("own")).alias("x").join(posting(vectors).alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.core") != F.col("y.core")))
-    dot = F.aggregate(F.array_intersect("x.v", "y.v"), F.lit(0.0), lambda s, z: s + z["w2"])
-    near = pairs.select(F.least("x.core", "y.core").alias("a"), F.greatest("x.core", "y.core").alias("b"), (dot / F.sqrt(F.col("x.n2") * F.col("y.n2"))).alias("cosine")).filter(F.col("cosine") >= least)
+    vectors = saved(_vectors(names), "vectors")
+    x, y = _postings(vectors, least).alias("x"), _postings(vectors, least).alias("y")
+    cosine = _norm2(F.array_intersect("x.v", "y.v")) / F.sqrt(F.col("x.n2").cast("double") * F.col("y.n2"))
+    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.core") < F.col("y.core"))).select(F.col("x.core").alias("a"), F.col("y.core").alias("b"), cosine.alias("cosine")).filter(F.col("cosine") >= least)
+    forms = names.select(F.col("core").alias("of"), F.explode(_forms(F.col("core"))).alias("core")).filter("core <> of")
+    short = forms.join(names, "core").select(F.least("core", "of").alias("a"), F.greatest("core", "of").alias("b"), F.lit(1.0).alias("cosine"))
+    near = near.union(short)
     # slips cut the cosine of short words most: pairs that share a longer n-gram or a word, a few letters apart, are linked too
     own = saved(names.select("core", F.replace("core", F.lit(" "), F.lit("")).alias("s"), F.array_join(F.reverse(F.split("core", " ")), "").alias("r"), F.explode(_grams(F.col("core"), (4, 5))).alias("g")), "postings")
     # the function gives -1 beyond its threshold
