@@ -36,7 +36,9 @@ def read_workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]
         rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
             target = rels[s.get(f"{_REL}id")].lstrip("/")
+            at_row = -1
             for row in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_NS}row"):
+                at_row = int(row.get("r")) - 1 if row.get("r") else at_row + 1
                 cells: list[str | None] = []
                 for c in row.iter(f"{_NS}c"):
                     at = column_index(c.get("r") or "") if c.get("r") else len(cells)
@@ -46,7 +48,7 @@ def read_workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]
                         cells[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
                     elif v is not None and v.text is not None:
                         cells[at] = shared[int(v.text)] if kind == "s" else ("true" if v.text == "1" else "false") if kind == "b" else v.text
-                yield s.get("name"), int(row.get("r") or 1) - 1, cells
+                yield s.get("name"), at_row, cells
 
 
 def workbooks(spark: SparkSession, path: str) -> DataFrame:
