@@ -27,7 +27,7 @@ SCRIPTS = [r"\b(?:ative|ativar|habilite|habilitar|active|activar|enable|turn on|
 #: A page of more words than this has content beside a message; a slot's default stands alone in at most so many words.
 PAGE_WORDS, SLOT_WORDS = 30, 12
 #: A filler part repeats a unit of at most so many words; share of the part that it covers at least.
-UNIT_WORDS, COVERED = 6, 0.75
+UNIT_WORDS, COVERED = 6, 0.8
 
 
 def _sentences(c: Column) -> Column:
