@@ -208,3 +208,42 @@ def retained(rows: DataFrame, order: list, n: int, by: list[str] | None = None)
     if by is None:
         return rows.orderBy(*order).limit(n)
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def brand_counts(products: DataFrame) -> DataFrame:
+    """brand_key, name (the least spelling), n of products by the normal form of their maker."""
+    b = products.select(norm(F.col("manufacturer")).alias("brand_key"), "manufacturer").filter("brand_key <> ''")
+    return b.groupBy("brand_key").agg(F.min("manufacturer").alias("name"), F.count("*").alias("n"))
+
+
+def supplier_directory(suppliers: DataFrame, text: str, most: int = 80) -> DataFrame:
+    """Suppliers with products whose name, e-mail, phone or aliases hold a text; by name and id."""
+    hay = norm(F.concat_ws(" ", "name", "email", "phone", F.concat_ws(" ", strings(F.col("aliases_json")))))
+    return suppliers.filter((F.col("product_count") > 0) & F.contains(hay, norm(F.lit(text)))).select("id", "name", "product_count").orderBy("name", "id").limit(most)
+
+
+def suggested_suppliers(events: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
+    """product_id, rank_no, supplier_id: who to ask for a product: its own suppliers first, then those of its family by products, ties by id."""
+    own = events.filter("trim(supplier_id) <> ''").select("product_id", "supplier_id").distinct()
+    fam = own.join(products.select(F.col("id").alias("product_id"), norm_audit(F.col("family")).alias("family_key")), "product_id")
+    w = Window.partitionBy("family_key").orderBy(F.col("n").desc(), "supplier_id")
+    best = fam.groupBy("family_key", "supplier_id").agg(F.countDistinct("product_id").alias("n")).withColumn("r", F.row_number().over(w))
+    per = fam.join(best.select("family_key", "supplier_id", "n"), ["family_key", "supplier_id"]).select("product_id", "supplier_id", F.lit(1).alias("own"), "n")
+    others = products.select(F.col("id").alias("product_id"), norm_audit(F.col("family")).alias("family_key")).join(best.filter(F.col("r") <= most), "family_key").select("product_id", "supplier_id", F.lit(0).alias("own"), "n")
+    every = per.union(others).groupBy("product_id", "supplier_id").agg(F.max("own").alias("own"), F.max("n").alias("n"))
+    top = Window.partitionBy("product_id").orderBy(F.col("own").desc(), F.col("n").desc(), "supplier_id")
+    return every.withColumn("rank_no", F.row_number().over(top)).filter(F.col("rank_no") <= most).select("product_id", "rank_no", "supplier_id")
+
+
+def export_sheets(products: DataFrame, suppliers: DataFrame, events: DataFrame, flags: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of the catalogue's export: catalogue, last three prices, history, suppliers with products, open issues."""
+    from insumo.operators.history import history, last_prices
+
+    cur = current_offers(events).select(F.col("product_id").alias("id"), F.col("final_price").alias("price"), F.col("updated_at").alias("date"), "supplier_name")
+    return {
+        "Catalogo": products.filter(~F.col("archived")).select("id", "code", "name", "family", "unit", "manufacturer").join(cur, "id", "left").orderBy("id"),
+        "Ultimos precos": last_prices(events, 3).orderBy("product_id"),
+        "Historico": history(events).select("product_id", "ordinal", "updated_at", "supplier_name", "final_price").orderBy("product_id", "ordinal"),
+        "Fornecedores": suppliers.filter("product_count > 0").select("id", "name", "email", "phone", "product_count").orderBy("id"),
+        "Pendencias": flags.orderBy("id", "flag"),
+    }

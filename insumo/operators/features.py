@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from insumo.functions.norms import jaccard, norm, squeeze, token_set
-from insumo.functions.numbers import to_mm, within
+from insumo.functions.text import fold
+from insumo.functions.numbers import fuzzy_equal, to_mm, within
+from insumo.functions.units import QUANTITY, figure_value, unit_table
 
 # Kind of material -> its words (the first that fits holds); labels of kinds; makers; usual units.
 TYPES = [("barra_chata", "barra chata|b chata"), ("chapa", r"chapas?|ch\.|folha metalica|lamina"), ("tubo", "tubos?|tubulacao"), ("fita", "silver tape|fita adesiva|fita"), ("parafuso", r"parafuso|paraf\."), ("porca", "porca"), ("arruela", "arruela"), ("rebite", "rebite"), ("cantoneira", "cantoneira|perfil l"), ("arame", "arame|fio de solda"), ("tela", "tela|malha"), ("flange", "flange"), ("tarugo", "tarugo"), ("conexao", "conexao|niple|nipple|luva|cotovelo|joelho|valvula|adaptador"), ("mangueira", "mangueira"), ("cabo", "cabo"), ("prensa_cabo", "prensa[ -]cabo"), ("rolamento", "rolamento|retentor"), ("adesivo", "adesivo|cola")]
@@ -171,3 +173,74 @@ def matches(queries: DataFrame, candidates: DataFrame, least: int = 45, n: int =
     scored = x.select("qid", "id", match_score("q", "c").alias("score")).filter(F.col("score") >= least)
     top = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank_no", F.row_number().over(top)).filter(F.col("rank_no") <= n).select("qid", "rank_no", "id", "score", F.when(F.col("score") >= 75, "alta").otherwise("média").alias("confidence"))
+
+
+def scored_type(text: Column) -> Column:
+    """Kind by points instead of the first fit: 5000 for a kind's word or phrase in the text, 1500 if a word begins with it, 250 for
+    each word a slip away, and its length; the most points hold, ties by the table's order; '' for none."""
+    n = F.concat(F.lit(" "), norm(text), F.lit(" "))
+    words = F.filter(F.split(norm(text), " "), lambda w: w != "")
+    near = lambda word: F.size(F.filter(words, lambda w: fuzzy_equal(w, F.lit(word))))
+    options = []
+    for i, (kind, alias) in enumerate(TYPES):
+        for word in (a.replace(r"\.", ".").replace("s?", "").replace("[ -]", " ") for a in alias.split("|")):
+            exact = F.when(F.contains(n, F.lit(f" {word} ")), 5000).when(F.contains(n, F.lit(f" {word}")), 1500).otherwise(0)
+            slips = 250 * near(word) if " " not in word else F.lit(0)
+            options.append(F.struct((exact + slips + F.when(exact + slips > 0, len(word)).otherwise(0)).alias("points"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")))
+    best = F.array_max(F.array(*options))
+    return F.when(best["points"] > 0, best["kind"]).otherwise("")
+
+
+def facts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, kind, value, unit of every measurement in a text, in the common unit of its kind, and of poles, protection and
+    wires: typed facts, one row each. Texts without any give none."""
+    units = F.broadcast(unit_table(rows.sparkSession))
+    t = F.translate(fold(F.col(text)), "²³", "23")
+    q = rows.select(F.col(key), F.posexplode(F.regexp_extract_all(t, F.lit(f"({QUANTITY})"), 1)).alias("pos", "q"))
+    figure = F.regexp_extract("q", r"^(\d{1,2}[ .]\d{1,2}/\d{1,2}|\d{1,3}/\d{1,3}|\d+(?:[.,]\d+)*)", 1)
+    alias = F.rtrim(F.regexp_replace(F.trim(F.substr(F.col("q"), F.length(figure) + 1)), r"\.$", ""))
+    common = {"length": "mm", "mass": "kg", "volume": "l", "voltage": "v", "power": "w", "pressure": "kpa"}
+    scale = {"length": 1000.0, "mass": 1_000_000.0, "volume": 1000.0, "voltage": 1.0, "power": 1.0, "pressure": 1.0}
+    m = q.withColumn("a", alias).join(units, F.col("a") == F.col("alias"))
+    div = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in scale.items()))
+    measured = m.select(key, "pos", "kind", F.round((figure_value(figure) * F.col("factor")).cast("double") / div, 4).alias("value"), F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in common.items())).alias("unit"))
+    others = {"poles": r"(\d+) ?polos", "protection": r"\bip ?(\d{2})\b", "wires": r"(\d+) ?fios", "area_mm2": r"(\d+(?:[.,]\d+)?) ?mm2"}
+    each = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit(".")).try_cast("double").alias("value")) for k, p in others.items())), lambda x: x["value"].isNotNull())
+    named = rows.select(F.col(key), F.posexplode(each).alias("pos", "x")).select(key, (F.col("pos") + 1000).alias("pos"), "x.kind", "x.value", F.lit("").alias("unit"))
+    return measured.unionByName(named)
+
+
+def parsed_specs(text: Column) -> Column:
+    """array<struct<label, value>> of `label: value` lines."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n+"), lambda x: x.rlike(r"^[^:]{1,60}:\s*\S"))
+    return F.transform(lines, lambda x: F.struct(squeeze(F.regexp_extract(x, r"^([^:]+):", 1)).alias("label"), squeeze(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)).alias("value")))
+
+
+def tidy_specs(specs_: Column) -> Column:
+    """Specifications with canonical labels, equal ones once, several sizes joined by ' × '."""
+    named = F.array_distinct(F.transform(F.filter(specs_, lambda s: squeeze(s["value"]) != ""), lambda s: F.struct(canonical_label(s["label"]).alias("label"), squeeze(s["value"]).alias("value"))))
+    size = F.array_join(F.transform(F.filter(named, lambda s: s["label"] == "Medida"), lambda s: s["value"]), " × ")
+    rest = F.filter(named, lambda s: s["label"] != "Medida")
+    return F.when(size == "", rest).otherwise(F.concat(rest, F.array(F.struct(F.lit("Medida").alias("label"), size.alias("value")))))
+
+
+def attribute_rank(products: DataFrame, query: str, limit: int = 25) -> DataFrame:
+    """id, tier, score: active products for a described wish. Tier 5: the code or the whole name; 1 to 4: no contradiction, and so many
+    of kind, material, alloy, dimensions met; 0: a contradiction of kind, material, alloy or dimension, listed last. Within a tier:
+    the inverse document frequency of shared words over all products, then id."""
+    q = described(products.sparkSession.range(1).select(F.lit(query).alias("text")), "text").select(*(F.col(f).alias(f"q_{f}") for f in ("kind", "material", "alloys", "tokens", "dims")))
+    p = described(products.select("id", "name", "code", "archived"), "name")
+    n = p.agg(F.count("*").alias("n"))
+    df = p.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    asked = q.select(F.explode("q_tokens").alias("t")).join(df, "t").crossJoin(F.broadcast(n)).select("t", F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+    lexical = p.filter(~F.col("archived")).select("id", F.explode("tokens").alias("t")).join(F.broadcast(asked), "t").groupBy("id").agg(F.sum("idf").alias("lexical"))
+    x = p.filter(~F.col("archived")).crossJoin(F.broadcast(q)).join(lexical, "id", "left")
+    both = lambda f: (F.col(f"q_{f}") != "") & (F.col(f) != "")
+    alloy_both = (F.size("q_alloys") > 0) & (F.size("alloys") > 0)
+    met = F.size(F.filter("q_dims", lambda d: F.exists("dims", lambda e: within(d, e, 0.3, 0.005))))
+    clash = (both("kind") & (F.col("q_kind") != F.col("kind"))) | (both("material") & (F.col("q_material") != F.col("material"))) | (alloy_both & ~alloy_fits(F.col("q_alloys"), F.col("alloys"))) | ((F.size("q_dims") > 0) & (F.size("dims") > 0) & (met == 0))
+    exact = (norm(F.col("name")) == norm(F.lit(query))) | (F.upper(F.trim("code")) == query.strip().upper())
+    facets = sum((c.cast("int") for c in (both("kind"), both("material"), alloy_both, met > 0)), F.lit(0))
+    tier = F.when(exact, 5).when(clash, 0).otherwise(facets)
+    out = x.filter(exact | F.col("lexical").isNotNull()).select("id", tier.alias("tier"), F.round(F.coalesce("lexical", F.lit(0.0)), 6).alias("score"))
+    return out.orderBy(F.col("tier").desc(), F.col("score").desc(), "id").limit(limit)

@@ -585,3 +585,61 @@ def tk8_top_in_group(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("p_brand").orderBy(F.col("p_retailprice").desc(), "p_partkey")
     return table(spark, sf, "part").withColumn("rank_no", F.row_number().over(w)).filter("rank_no <= 12").select(F.col("p_brand").alias("family"), "rank_no", "p_partkey")
 
+
+
+# --- more of the catalogue -----------------------------------------------------------------------------------------------
+
+
+@query(f"select * from (select {_norm('manufacturer')} as brand_key, min(manufacturer) as name, count(*) as n from product group by 1) where brand_key <> ''")
+def jn13_brand_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.brand_counts(table(spark, sf, "product"))
+
+
+@query(f"""select id, name, product_count from suppliers where product_count > 0 and contains({_norm("concat_ws(' ', name, email, phone, array_to_string(" + _json('aliases_json') + ", ' '))")}, 'hidraul') order by name, id limit 80""")
+def fil7_directory(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.supplier_directory(table(spark, sf, "suppliers"), "Hidrául")
+
+
+@query(f"""with {_EVENTS}, own as (select distinct product_id, supplier_id from ev where trim(supplier_id) <> ''), f as (select id as product_id, {_norm_audit('family')} as k from product), fam as (select own.*, f.k from own join f on f.product_id = own.product_id),
+b as (select *, row_number() over (partition by k order by n desc, supplier_id) as r from (select k, supplier_id, count(distinct product_id) as n from fam group by 1, 2)),
+e as (select fam.product_id, fam.supplier_id, 1 as own, b.n from fam join b on b.k = fam.k and b.supplier_id = fam.supplier_id union all select f.product_id, b.supplier_id, 0, b.n from f join b on b.k = f.k where b.r <= 5),
+g as (select product_id, supplier_id, max(own) as own, max(n) as n from e group by 1, 2)
+select product_id, cast(rn as integer) as rank_no, supplier_id from (select *, row_number() over (partition by product_id order by own desc, n desc, supplier_id) as rn from g) where rn <= 5""")
+def fil8_suggested(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.suggested_suppliers(_events(spark, sf), table(spark, sf, "product"))
+
+
+@query()
+def cls2_scored_types(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "match_candidate").select("id", features.scored_type(F.col("name")).alias("kind"))
+
+
+@query()
+def cls8_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return features.facts(table(spark, sf, "product"), "id", "name")
+
+
+@query()
+def arr1_tidy_specs(spark: SparkSession, sf: str) -> DataFrame:
+    specs = F.from_json("specs_json", "array<struct<label:string,value:string>>")
+    return table(spark, sf, "product").select("id", F.to_json(features.tidy_specs(specs)).alias("specs")).filter("specs is not null")
+
+
+@query()
+def sch8_attribute_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return features.attribute_rank(table(spark, sf, "product"), "chapa inox 304 lisa 2 mm")
+
+
+@query()
+def er6_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Products whose number is divisible by 20, against all."""
+    p = table(spark, sf, "product").filter(~F.col("archived"))
+    return resolve.similar_products(p.filter(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 20 == 0), p)
+
+
+@query(f"""with recursive w as (select event_type, date_trunc('hour', ts) as window_start, count(*) as n, floor(sum(value) * 100 + 0.500001) / 100 as total from events group by 1, 2) select window_start, event_type, n, total from w""".replace("with recursive", "with"))
+def str215_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream's windows over the events at rest."""
+    e = table(spark, sf, "events")
+    w = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), numbers.rounded(F.sum("value"), 2).alias("total"))
+    return w.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
