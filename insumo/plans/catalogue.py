@@ -394,8 +394,7 @@ def str18_invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def str19_typed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter(F.col("source") == "chat_compras")
-    return ingest.typed_lines(d, "doc_id")
+    return ingest.typed_lines(table(spark, sf, "documents"), "doc_id")
 
 
 @query(f"""with c as (select distinct {_norm('code')} as code from product where code <> '') select a.code as code_a, b.code as code_b, levenshtein(a.code, b.code) as d from c a join c b
