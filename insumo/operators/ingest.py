@@ -140,7 +140,6 @@ def nfe_items(invoices: DataFrame, xml: str = "xml") -> DataFrame:
     text = lambda path: F.xpath_string("x", F.lit(path))
     n = F.xpath_int("x", F.lit("count(//det)"))
     item = x.select("id", "x", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))).alias("item_no"))
-    of = lambda tag: F.get(F.xpath("x", F.lit(f"//det/prod/{tag}/text()")), F.col("item_no") - 1)
     # tags may be absent in some items, so each is read from its own item
     det = F.regexp_extract_all("x", F.lit(r"(?s)(<det\b.*?</det>)"), 1)
     item = item.withColumn("d", F.get(det, F.col("item_no") - 1))
@@ -149,7 +148,6 @@ def nfe_items(invoices: DataFrame, xml: str = "xml") -> DataFrame:
     quantity, unit_price = F.coalesce(num("qCom"), F.lit(1.0)), F.coalesce(num("vUnCom"), F.lit(0.0))
     when = F.coalesce(F.nullif(text("//ide/dhEmi"), F.lit("")), text("//ide/dEmi"))
     gtin = F.coalesce(F.nullif(tag("cEAN"), F.lit("")), F.nullif(tag("cEANTrib"), F.lit("")), F.lit(""))
-    del of
     return item.select("id", "item_no", squeeze(text("//emit/xNome")).alias("supplier"), squeeze(text("//emit/CNPJ")).alias("cnpj"), F.try_to_date(F.substring(when, 1, 10), "yyyy-MM-dd").alias("date"), tag("cProd").alias("code"), gtin.alias("gtin"), tag("xProd").alias("name"), quantity.alias("quantity"), tag("uCom").alias("unit"), unit_price.alias("unit_price"), F.coalesce(num("vProd"), unit_price * quantity).alias("total")).filter("name <> '' or code <> ''")
 
 
