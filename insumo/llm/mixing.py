@@ -79,9 +79,12 @@ def mix(tokens: DataFrame, targets: DataFrame, seed: int = 9, domains: dict[str,
         raise ValueError(f"over {LEAVES} pairs of source and language")
     wanted = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in targets.filter("source is not null").limit(LEAVES).collect()}
     plan = budgets([(r.source, r.lang, r.t) for r in leaves], wanted, sum(r.t for r in leaves), domains)
-    rows = [(r.source, r.lang, int(plan[r.source, r.lang] // r.t), float(plan[r.source, r.lang] % r.t)) for r in leaves if plan.get((r.source, r.lang), 0) > 0]
-    # a budget within rounding of a whole number of epochs is that number
-    rows = [(s, x, e + 1, 0.0) if t - rest < 0.5 else (s, x, e, rest) for (s, x, e, rest), t in zip(rows, [r.t for r in leaves if plan.get((r.source, r.lang), 0) > 0], strict=True)]
+    rows = []
+    for r in leaves:
+        if budget := plan.get((r.source, r.lang), 0):
+            epochs, rest = divmod(float(budget), r.t)
+            # a budget within rounding of a whole number of epochs is that number
+            rows.append((r.source, r.lang, int(epochs) + 1, 0.0) if r.t - rest < 0.5 else (r.source, r.lang, int(epochs), rest))
     plans = F.broadcast(spark.createDataFrame(rows, "source string, lang string, epochs int, rest double"))
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
     docs = full.join(plans, ["source", "lang"]).withColumn("h", order).withColumn("part", F.floor((F.shiftright("h", 1) / 2.0**62 + 1) / 2 * parts).cast("int"))
