@@ -49,7 +49,8 @@ def unfilled_slots(docs: DataFrame) -> DataFrame:
     corpus are its variables. Other delimiters count if they hold such a variable, or a request to fill in. Sentences that
     speak of templates don't count, nor do tags, times, list numbers or JSON, which hold no variable."""
     folded_names = lambda c: F.trim(F.regexp_replace(fold(c), r"[\s_.-]+", " "))
-    any_ = "|".join(f"(?:{p})" for p in SURE + UNSURE)
+    # the look-ahead passes nearly all positions over by one character
+    any_ = r"(?=[{$#<%@\[(«_])(?:" + "|".join(f"(?:{p})" for p in SURE + UNSURE) + ")"
     s = docs.filter(F.col("text").rlike(any_)).select("doc_id", F.explode(_sentences(F.col("text"))).alias("s"))
     s = s.filter(F.col("s").rlike(any_) & ~fold(F.col("s")).rlike(MENTION))
     each = lambda patterns, sure: F.transform(F.array_compact(F.flatten(F.array(*(F.regexp_extract_all("s", F.lit(p), 1) for p in patterns)))), lambda n: F.struct(n.alias("name"), F.lit(sure).alias("sure")))
@@ -74,27 +75,28 @@ def fillers(docs: DataFrame) -> DataFrame:
 
     Nonsense Latin has its own vocabulary: the words nearly all of whose documents hold a seed word, counted over all
     documents; parts with a seed are filler if most of their words are of it."""
-    low = fold(F.col("text"))
-    # a generated column is computed once; a projected one would be again in every filter
-    split = F.transform(F.split(low, r"\n\s*\n"), lambda p: F.struct(p.alias("part"), _words(p).alias("w")))
-    parts = docs.select("doc_id", F.explode(split).alias("p")).select("doc_id", "p.part", "p.w")
+    def split(rows: DataFrame) -> DataFrame:
+        # a generated column is computed once; a projected one would be again in every filter
+        pw = F.transform(F.split(F.lower("text"), r"\n\s*\n"), lambda p: F.struct(p.alias("part"), _words(p).alias("w")))
+        return rows.select("doc_id", F.explode(pw).alias("p")).select("doc_id", "p.part", "p.w")
+
+    parts = split(docs)
     n, kinds = F.size("w"), F.size(F.array_distinct("w"))
     cover = lambda p: F.size(F.filter(F.sequence(F.lit(0), n - 1 - p), lambda i: F.get("w", i) == F.get("w", i + p))) + p
-    few = parts.filter((n >= 3) & (kinds <= 0.5 * n))
     periodic = F.greatest(*(F.when(n >= 3 * p, cover(p) / n).otherwise(0.0) for p in range(1, UNIT_WORDS + 1)))
     # figures repeat in lists; a unit has letters
-    repeated = few.filter((periodic >= COVERED) & F.exists("w", lambda x: x.rlike(r"^\p{L}+$"))).select("doc_id")
+    repeated = (n >= 3) & (kinds <= 0.5 * n) & F.exists("w", lambda x: x.rlike(r"^\p{L}+$")) & (periodic >= COVERED)
     default = "|".join(_pattern(d) for d in DEFAULTS)
-    alone = parts.filter((n <= SLOT_WORDS) & F.col("part").rlike(rf"^\W*(?:titulo\W+)?(?:{default})\W*$")).select("doc_id")
-    seeded = F.arrays_overlap("w", F.array(*(F.lit(x) for x in LATIN)))
-    vocabulary = (
-        parts.select(F.col("part").rlike("|".join(LATIN)).cast("int").alias("seeded"), F.explode(F.array_distinct("w")).alias("word"))
-        .groupBy("word").agg(F.count("*").alias("df"), F.sum("seeded").alias("with_seed"))
-        .filter("with_seed >= 2 and with_seed >= 0.8 * df or word in ('lorem', 'ipsum')").select("word", F.lit(1).alias("latin"))
-    )
-    words = parts.filter(seeded).select("doc_id", F.xxhash64("part").alias("h"), F.explode("w").alias("word"))
+    alone = (n <= SLOT_WORDS) & fold(F.col("part")).rlike(rf"^\W*(?:titulo\W+)?(?:{default})\W*$")
+    plain = parts.filter(alone | repeated).select("doc_id")
+    seeded = split(docs.filter(F.lower("text").rlike("|".join(LATIN)))).filter(F.arrays_overlap("w", F.array(*map(F.lit, LATIN))))
+    # the words alone go through the generator, not the text that they are of
+    df = parts.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    with_seed = seeded.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("with_seed"))
+    vocabulary = with_seed.join(df, "word").filter((F.col("with_seed") >= 2) & (F.col("with_seed") >= 0.8 * F.col("df")) | F.col("word").isin(*LATIN)).select("word", F.lit(1).alias("latin"))
+    words = seeded.select("doc_id", F.xxhash64("part").alias("h"), F.explode("w").alias("word"))
     latin = words.join(vocabulary, "word", "left").groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.sum(F.coalesce("latin", F.lit(0))).alias("k")).filter("n >= 5 and k >= 0.6 * n").select("doc_id")
-    return repeated.union(alone).union(latin).distinct()
+    return plain.union(latin).distinct()
 
 
 def _pattern(text: str) -> str:
