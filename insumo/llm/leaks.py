@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -61,6 +61,23 @@ def keys(windows: np.ndarray, bits: np.ndarray, sample: np.ndarray, coefficients
     return out
 
 
+class Masks:
+    """Where each symbol stands in an item, as bits, and which symbols it has."""
+
+    def __init__(self, own: np.ndarray, pad: int):
+        self.bits: dict[int, int] = {}
+        for k, s in enumerate(own.tolist()):
+            self.bits[s] = self.bits.get(s, 0) | 1 << k
+        self.symbols, self.pad = own, pad
+
+    @cached_property
+    def member(self) -> np.ndarray:
+        """Made where it is used: an index of many items is sent without it."""
+        out = np.zeros(self.pad + 1, bool)
+        out[self.symbols] = True
+        return out
+
+
 class Index:
     """Windows of a block of items by their keys; made on the driver, sent to the workers."""
 
@@ -69,6 +86,7 @@ class Index:
         self.ids = {w: k for k, w in enumerate(sorted({x for ws in self.items.values() for x in ws}), 1)}
         self.symbols = {i: np.array([self.ids[x] for x in ws], np.int32) for i, ws in self.items.items()}
         self.pad = len(self.ids) + 1
+        self.masks = {i: Masks(s, self.pad) for i, s in self.symbols.items()}
         rng = np.random.default_rng(seed)
         self.tables = []
         for size in WINDOWS:
@@ -114,18 +132,38 @@ class Index:
         own = self.symbols[item]
         n = len(own)
         lo, hi = max(0, at - n // 2), min(len(symbols), at + n + n // 2)
-        region = symbols[lo:hi].tolist()
+        region = symbols[lo:hi]
+        masks = self.masks[item]
+        # the words of the text that are the item's at all bound its share; the others can't be in a common subsequence
+        common = region[masks.member[region]]
+        if len(common) < self.share * n:
+            return 0.0
         # bit-parallel longest common subsequence: no alignment holds more words
-        masks: dict[int, int] = {}
-        for k, s in enumerate(own.tolist()):
-            masks[s] = masks.get(s, 0) | 1 << k
         full = v = (1 << n) - 1
-        for s in region:
-            if u := v & masks.get(s, 0):
-                v = (v + u | v - u) & full
+        for s in common.tolist():
+            u = v & masks.bits[s]
+            v = (v + u | v - u) & full
         if n - v.bit_count() < self.share * n:
             return 0.0
-        return _aligned(own, np.array(region, np.int32)) / n
+        # the score of the best alignment, by rows at once; with less than half the share there are as many slips as matches
+        if _best_score(own, region) < self.share * n / 2:
+            return 0.0
+        return _aligned(own, region) / n
+
+
+def _best_score(a: np.ndarray, b: np.ndarray) -> float:
+    """Score of the best local alignment, as _aligned() has it."""
+    ramp = PENALTY * np.arange(len(b) + 1)
+    row, best = np.zeros(len(b) + 1), 0.0
+    for x in a:
+        step = np.zeros(len(b) + 1)
+        step[1:] = row[:-1] + np.where(b == x, 1.0, -PENALTY)
+        np.maximum(step, row - PENALTY, out=step)
+        np.maximum(step, 0.0, out=step)
+        # words put in: a running maximum along the row
+        row = np.maximum.accumulate(step + ramp) - ramp
+        best = max(best, row.max())
+    return best
 
 
 def _aligned(a: np.ndarray, b: np.ndarray) -> int:
