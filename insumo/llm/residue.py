@@ -10,9 +10,13 @@ from insumo.functions.text import fold
 # Delimiters of template variables. The sure ones mean nothing else; the others also have ordinary uses.
 SURE = [r"\{\{\s*([\w .-]{1,40}?)\s*\}\}", r"[$#]\{\s*([\w .-]{1,40}?)\s*\}", r"<%=?\s*([\w .-]{1,40}?)\s*%>", r"%%\s*([\w .-]{1,40}?)\s*%%", r"@@\s*([\w .-]{1,40}?)\s*@@", r"\{(\d{1,2})\}"]
 UNSURE = [r"\[([\p{L}_][\p{L}_ -]{1,39})\]", r"<([\p{L}_][\p{L}_ -]{1,39})>", r"\(([\p{L}_][\p{L}_ -]{1,39})\)", r"«\s*([\p{L}_][\p{L}_ -]{1,39}?)\s*»", r"\$([\p{L}_]{3,40})\$", r"__([\p{L}][\p{L}_]{1,39}?)__", r"\{([\p{L}_][\p{L}_ -]{1,39})\}", r"%([\p{L}_]{3,40})%"]
-# Fixed values (folded): words that ask to fill in; words of sentences that speak of templates instead of leaving one unfilled.
+# Fixed values (folded): words that ask to fill in.
 FILL_IN = ["inserir", "insira", "informar", "informe", "preencher", "preencha", "digite", "digitar", "colocar", "coloque", "complete", "completar", "rellenar", "ingrese", "insert", "enter", "fill", "your", "seu", "sua", "tbd", "todo"]
-MENTION = r"\b(escreva|escrever|modelo|modelos|campo|campos|variavel|variaveis|marcador|marcadores|sintaxe|placeholder|placeholders|template|templates|plantilla|escriba|write|field|variable)\b"
+# What makes a slot one that is spoken of, not left unfilled: told to write it, called a field or variable just before, or named so just after.
+WRITE, NOUN, THE = r"(?:escrev(?:a|er)|escriba|escribir|write)", r"(?:campos?|vari[aá]ve(?:l|is)|variables?|marcador(?:es)?|sintaxe|placeholders?|templates?|plantilla|fields?)", r"(?:[oa]s?|um|uma|el|la|un|una|the|an?|d[oae]s?|n[oa]s?|del)"
+SLOT = "(?:" + "|".join(f"(?:{p})" for p in SURE + UNSURE) + ")"
+# in 'tecnico de campo {{x}}' the word is no field, in 'o campo {{x}}' it is
+GOVERNED = rf"(?i)(?:\b{WRITE}:?\s+(?:{THE}\s+)?|\b(?:modelo|template|plantilla)\b[^,:]{{0,60}},\s*{WRITE}\b[^{{$#<%@\[(«_]{{0,40}}|(?<!\bde\s)\b{NOUN}\s+)[\"'“`]?{SLOT}(?:[\"'”`]?\s*(?:,|\be\b|\bou\b|\by\b|\bo\b|\band\b|\bor\b)\s*[\"'“`]?{SLOT})*|{SLOT}[\"'”`]?\s+(?:[eé]|es|is)\s+{THE}\s+{NOUN}\b"
 # Fixed values (folded): default texts of empty slots, words of nonsense Latin, and messages that stand instead of a page.
 DEFAULTS = ["insira seu texto", "insira o texto aqui", "descricao do produto vai aqui", "texto de exemplo", "texto vai aqui", "conteudo em breve", "em construcao", "teste teste", "texto aqui", "conteudo aqui", "sample text", "your text here", "text goes here", "content coming soon", "coming soon", "texto de ejemplo", "inserte su texto", "contenido en breve", "lorem ipsum", "bla bla", "asdf qwer", "asdf asdf", "xxxxx", "aaa bbb ccc", "click to edit", "n/a"]
 LATIN = ["lorem", "ipsum"]
@@ -46,13 +50,13 @@ def unfilled_slots(docs: DataFrame) -> DataFrame:
     """doc_id of documents that keep a variable's name in a slot.
 
     Sentences with delimiters are aligned by what stands between these: the names found in sure delimiters anywhere in the
-    corpus are its variables. Other delimiters count if they hold such a variable, or a request to fill in. Sentences that
-    speak of templates don't count, nor do tags, times, list numbers or JSON, which hold no variable."""
+    corpus are its variables. Other delimiters count if they hold such a variable, or a request to fill in. Slots that
+    a sentence only speaks of (GOVERNED) don't count, nor do tags, times, list numbers or JSON, which hold no variable."""
     folded_names = lambda c: F.trim(F.regexp_replace(fold(c), r"[\s_.-]+", " "))
     # the look-ahead passes nearly all positions over by one character
     any_ = r"(?=[{$#<%@\[(«_])(?:" + "|".join(f"(?:{p})" for p in SURE + UNSURE) + ")"
     s = docs.filter(F.col("text").rlike(any_)).select("doc_id", F.explode(_sentences(F.col("text"))).alias("s"))
-    s = s.filter(F.col("s").rlike(any_) & ~fold(F.col("s")).rlike(MENTION))
+    s = s.filter(F.col("s").rlike(any_)).withColumn("s", F.regexp_replace("s", GOVERNED, " "))
     each = lambda patterns, sure: F.transform(F.array_compact(F.flatten(F.array(*(F.regexp_extract_all("s", F.lit(p), 1) for p in patterns)))), lambda n: F.struct(n.alias("name"), F.lit(sure).alias("sure")))
     marks = s.select("doc_id", F.explode(F.concat(each(SURE, True), each(UNSURE, False))).alias("m")).select("doc_id", folded_names(F.col("m.name")).alias("name"), "m.sure").filter("name <> ''")
     verb = r"^(?:" + "|".join(FILL_IN) + r")\b"

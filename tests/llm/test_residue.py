@@ -21,5 +21,12 @@ def test_cases(spark):
     assert got == {(i, k) for i, _, k in rows if k}
 
 
+def test_mentions_excuse_only_the_slots_they_govern(spark):
+    unfilled = ["o técnico de campo <%= prazo %> novamente o preço", "Modelo: {{prazo}}", "<%= prazo %> técnico de campo devolveu a nota.", "O técnico de campo mandou a unidade sem ${prazo} o pedido.", "No modelo, escreva {{prazo}} aqui, e envie ao técnico de campo até {{contato}}.", "o técnico de campo «prazo» recebeu"]
+    spoken = ["No modelo de cotação, escreva ${prazo} onde o prazo deve aparecer;", "No modelo de cotação, escreva o prazo como {{prazo}} e salve.", "O sistema troca o campo {{prazo}} pelo valor.", "A variável %%prazo%% é trocada.", "Write {{prazo}} or {{contato}} in the mail.", "{{prazo}} é um marcador."]
+    df = spark.createDataFrame(list(enumerate(unfilled + spoken)), "doc_id long, text string")
+    assert {r.doc_id for r in residue(df).filter("kind = 'slot'").collect()} == set(range(len(unfilled)))
+
+
 def test_empty(spark):
     assert residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
