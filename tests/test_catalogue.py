@@ -98,6 +98,15 @@ def test_duplicate_suppliers(spark):
     assert rows(resolve.contact_pairs(s), "id_a", "id_b", "reason") == [("1", "3", "1-email"), ("3", "4", "2-phone")]
 
 
+def test_contact_pairs_of_a_hot_address_are_whole(spark):
+    import itertools
+
+    ids = [f"{i:03}" for i in range(60)]
+    s = spark.createDataFrame([(i, None, "office@x", None) for i in ids] + [(f"p{i}", None, None, "55 11 4002-8922") for i in ids], "id string, name string, email string, phone string")
+    want = [(a, b, "1-email") for a, b in itertools.combinations(ids, 2)] + [(f"p{a}", f"p{b}", "2-phone") for a, b in itertools.combinations(ids, 2)]
+    assert rows(resolve.contact_pairs(s), "id_a", "id_b", "reason") == want
+
+
 def test_ratio_pairs_lose_nothing(spark):
     import difflib
     import random
