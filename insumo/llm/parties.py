@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,11 +107,12 @@ def links(names: DataFrame, least: float = LINKED) -> DataFrame:
     return near.union(slips).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, label: the least node of each component of edges (x, y), by label propagation with pointer jumping, a table a round."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the least node of each component of edges (x, y), by label propagation with pointer jumping, a table a round,
+    until no label changes."""
     both = saved(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "edges")
     state = saved(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(state.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         step = state.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = step.alias("s").join(step.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
@@ -120,20 +124,76 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return state
 
 
+def _joined(least: float, unlinked: float):
+    """The rounds of average_linkage over the groups of one component: rows p, q, over, np, nq to rows party, into."""
+
+    def f(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*rows["p"], *rows["q"]})
+        at = {x: i for i, x in enumerate(names)}
+        size, over, into = {}, {i: {} for i in at.values()}, {}
+        for p, q, o, n, m in zip(rows["p"].map(at), rows["q"].map(at), rows["over"], rows["np"], rows["nq"], strict=True):
+            over[p][q] = over[q][p] = o
+            size[p], size[q] = n, m
+        avg = lambda p, q: unlinked + over[p][q] / (size[p] * size[q])
+        # the best partner is on top, of equal ones the larger; entries that no longer hold are passed over
+        heaps = {p: [(-avg(p, q), -q) for q in qs if avg(p, q) >= least] for p, qs in over.items()}
+        for h in heaps.values():
+            heapq.heapify(h)
+
+        def best(p: int) -> int | None:
+            h = heaps[p]
+            while h and (-h[0][1] not in over[p] or avg(p, -h[0][1]) != -h[0][0]):
+                heapq.heappop(h)
+            return -h[0][1] if h else None
+
+        while True:
+            picks = {p: best(p) for p in over}
+            pairs = [(q, p) for p, q in picks.items() if q is not None and q < p and picks[q] == p]
+            if not pairs:
+                break
+            for q, p in pairs:
+                for r, o in over.pop(p).items():
+                    del over[r][p]
+                    if r != q:
+                        over[q][r] = over[r][q] = over[q].get(r, 0.0) + o
+                size[q] += size[p]
+                into[p] = q
+            for q, _ in pairs:
+                for r in over[q]:
+                    if (a := avg(q, r)) >= least:
+                        heapq.heappush(heaps[q], (-a, -r))
+                        heapq.heappush(heaps[r], (-a, -q))
+        found = []
+        for p in into:
+            q = into[p]
+            while q in into:
+                q = into[q]
+            found.append((names[p], names[q]))
+        return pd.DataFrame(found, columns=["party", "into"])
+
+    return f
+
+
 def average_linkage(clusters: DataFrame, edges: DataFrame, least: float = JOINED, unlinked: float = UNLINKED, rounds: int = 40) -> DataFrame:
     """core, party: groups joined by average linkage. clusters: core, party (the groups to begin with); edges: a, b, cosine.
 
     Each round, every group picks the group with the largest average cosine of their spellings (pairs without an edge count
     `unlinked`), and pairs of groups that pick each other are joined if it is at least `least`; joining such pairs at once
-    gives the same as one by one. Rounds end when none is joined; each is a few joins over tables as long as the edges."""
+    gives the same as one by one. Rounds end when none is joined; each is a few joins over tables as long as the edges. A hub
+    with many variants takes in one a round: what is left to join after `rounds` goes through the same rounds, to their end,
+    within each component of groups that can still be joined (an average of averages is never above both)."""
     state = saved(clusters, "clusters")
     sizes = lambda s: s.groupBy("party").agg(F.count("*").alias("n"))
-    for _ in range(rounds):
+
+    def averages(state: DataFrame) -> DataFrame:
         sums = edges.join(state.select(F.col("core").alias("a"), F.col("party").alias("p")), "a").join(state.select(F.col("core").alias("b"), F.col("party").alias("q")), "b").filter("p <> q")
         sums = sums.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.sum(F.col("cosine") - unlinked).alias("over"))
         n = sizes(state)
         avg = sums.join(n.select(F.col("party").alias("p"), F.col("n").alias("np")), "p").join(n.select(F.col("party").alias("q"), F.col("n").alias("nq")), "q")
-        avg = saved(avg.select("p", "q", (F.lit(unlinked) + F.col("over") / (F.col("np") * F.col("nq"))).alias("avg")).filter(F.col("avg") >= least), "averages")
+        return avg.withColumn("avg", F.lit(unlinked) + F.col("over") / (F.col("np") * F.col("nq")))
+
+    for _ in range(rounds):
+        avg = saved(averages(state).select("p", "q", "avg").filter(F.col("avg") >= least), "averages")
         both = avg.select("p", "q", "avg").union(avg.select(F.col("q").alias("p"), F.col("p").alias("q"), "avg"))
         best = both.groupBy("p").agg(F.max(F.struct(F.col("avg"), F.col("q"))).alias("best")).select("p", F.col("best.q").alias("q"))
         merged = best.alias("l").join(best.alias("r"), (F.col("l.q") == F.col("r.p")) & (F.col("r.q") == F.col("l.p"))).filter("l.p > l.q").select(F.col("l.p").alias("party"), F.col("l.q").alias("into"))
@@ -141,8 +201,12 @@ def average_linkage(clusters: DataFrame, edges: DataFrame, least: float = JOINED
         moved = new.filter("moved").limit(1).count()
         state = new.drop("moved")
         if not moved:
-            break
-    return state
+            return state
+    rest = saved(averages(state), "averages")
+    label = components(rest.filter(F.col("avg") >= least).select(F.col("p").alias("x"), F.col("q").alias("y")))
+    within = rest.join(label.select(F.col("node").alias("p"), "label"), "p").join(label.select(F.col("node").alias("q"), "label"), ["q", "label"])
+    merged = within.select("label", "p", "q", "over", "np", "nq").groupBy("label").applyInPandas(_joined(least, unlinked), "party string, into string")
+    return saved(state.join(merged, "party", "left").select("core", F.coalesce("into", "party").alias("party")), "clusters")
 
 
 def parties(records: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

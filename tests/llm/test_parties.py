@@ -54,5 +54,27 @@ def test_average_linkage_and_components(spark):
     assert {r.label for r in parties.components(chain).collect()} == {"n00", "x"}
 
 
+def test_average_linkage_ends_only_when_none_is_joined(spark):
+    import itertools
+
+    # every variant is nearest to the clean spelling, so a round takes in one
+    names = [f"v{i:02}" for i in range(100)]
+    star = [("hub", n, 0.99) for n in names] + [(a, b, 0.9) for a, b in itertools.combinations(names, 2)]
+    c = spark.createDataFrame([(x, x) for x in ["hub", *names]], "core string, party string")
+    got = parties.average_linkage(c, spark.createDataFrame(star, "a string, b string, cosine double"), rounds=3).collect()
+    assert {r.party for r in got} == {"hub"} and len(got) == 101
+
+
+def test_average_linkage_is_the_same_after_any_number_of_rounds(spark):
+    import random
+
+    r = random.Random(5)
+    names = [f"n{i:02}" for i in range(60)]
+    e = spark.createDataFrame([(a, b, r.uniform(0.5, 1.0)) for i, a in enumerate(names) for b in names[i + 1 :] if r.random() < 0.3], "a string, b string, cosine double")
+    c = spark.createDataFrame([(x, x) for x in names], "core string, party string")
+    by = [sorted(map(tuple, parties.average_linkage(c, e, rounds=n).collect())) for n in (0, 2, 100)]
+    assert by[0] == by[1] == by[2] and 1 < len({p for _, p in by[0]}) < 60
+
+
 def test_empty(spark):
     assert pairs(spark, [], []) == set()
