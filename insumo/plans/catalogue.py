@@ -405,6 +405,12 @@ def num8_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
     return c.alias("a").join(c.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.code") < F.col("b.code"))).select(F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b"), d.cast("long").alias("d")).filter("d >= 0")
 
 
+@query()
+def num8_code_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of codes within two edits; num8_levenshtein has only those that its SQL asks for, with the same five first characters."""
+    return resolve.near_codes(table(spark, sf, "product").filter("code <> ''").select(norms.norm(F.col("code")).alias("code")).distinct())
+
+
 @query("""with g as (select p_partkey, lpad(cast(p_partkey * 7919 + 1000000 as varchar), 8, '0') as d from part) select p_partkey, d as gtin, (3 * (substr(d, 1, 1)::int + substr(d, 3, 1)::int + substr(d, 5, 1)::int + substr(d, 7, 1)::int)
   + substr(d, 2, 1)::int + substr(d, 4, 1)::int + substr(d, 6, 1)::int + substr(d, 8, 1)::int) % 10 = 0 and length(d) = 8 as valid from g""")
 def num13_gtin(spark: SparkSession, sf: str) -> DataFrame:

@@ -107,6 +107,23 @@ def test_contact_pairs_of_a_hot_address_are_whole(spark):
     assert rows(resolve.contact_pairs(s), "id_a", "id_b", "reason") == want
 
 
+def test_near_codes_lose_nothing(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(4)
+    codes = sorted({"".join(r.choice("ab-1") for _ in range(r.randint(1, 9))) for _ in range(120)} | {"cb-jdd59-03", "cbjdd59-03"})
+    want = [(a, b, d) for i, a in enumerate(codes) for b in codes[i + 1 :] if (d := edits(a, b)) <= 2]
+    assert rows(resolve.near_codes(spark.createDataFrame([(c,) for c in codes], "code string")), "code_a", "code_b", "d") == want and ("cb-jdd59-03", "cbjdd59-03", 1) in want
+
+
 def test_ratio_pairs_lose_nothing(spark):
     import difflib
     import random
