@@ -135,6 +135,17 @@ def test_ratio_pairs_lose_nothing(spark):
     assert {(x.id_a, x.id_b) for x in got.collect()} == want and want
 
 
+def test_ratio_pairs_of_short_keys_lose_nothing(spark):
+    import difflib
+    import itertools
+
+    names = ["abxcd", "xabcd", *("".join(x) for n in (4, 5) for x in itertools.product("bdf", repeat=n)), "abcd"]
+    names = sorted(set(names))
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if round(100 * difflib.SequenceMatcher(None, a, b).ratio()) >= 88}
+    got = resolve.ratio_pairs(spark.createDataFrame([(n, n) for n in names], "id string, name string"))
+    assert {(x.id_a, x.id_b) for x in got.collect()} == want and ("abcd", "abxcd") in want
+
+
 def test_suppression(spark):
     t = dt.datetime(2024, 1, 1)
     e = spark.createDataFrame([("k", t + dt.timedelta(seconds=s), i) for i, s in enumerate((0, 1, 2, 3))] + [("k2", t, 9), (None, t, 8)], "k string, at timestamp, id int")
