@@ -191,9 +191,17 @@ def scored_type(text: Column) -> Column:
     return F.when(best["points"] > 0, best["kind"]).otherwise("")
 
 
-def facts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, kind, value, unit of every measurement in a text, in the common unit of its kind, and of poles, protection and
-    wires: typed facts, one row each. Texts without any give none."""
+def facts(rows: DataFrame, key: str, text: str, specs_: str | None = None) -> DataFrame:
+    """key, pos, kind, value, unit of every measurement in a text, in the common unit of its kind, and of all poles, protections,
+    wires and areas: typed facts, one row each. Texts without any give none. specs_: a column of JSON specifications (label,
+    value), whose values are read like texts, pos from 10000 on for each; those equal to a fact of before are left out."""
+    if specs_:
+        each = F.from_json(F.col(specs_), "array<struct<label:string,value:string>>")
+        said = rows.select(F.col(key), F.lit(0).alias("_at"), F.col(text).alias("_t")).union(rows.select(F.col(key), F.posexplode(each).alias("_at", "_s")).select(key, F.col("_at") + 1, "_s.value"))
+        found = facts(said.select(F.struct(F.col(key).alias("k"), F.col("_at").alias("at")).alias("_k"), "_t"), "_k", "_t").select(F.col("_k.k").alias(key), (F.col("pos") + 10000 * F.col("_k.at")).alias("pos"), "kind", "value", "unit")
+        first = found.filter("pos >= 10000").groupBy(key, "kind", "value", "unit").agg(F.min("pos").alias("pos")).select(*found.columns)
+        own = found.filter("pos < 10000")
+        return own.unionByName(first.alias("s").join(own.select(F.col(key).alias("_k"), F.col("kind").alias("_kind"), F.col("value").alias("_value"), F.col("unit").alias("_unit")), (F.col(f"s.{key}") == F.col("_k")) & (F.col("s.kind") == F.col("_kind")) & F.col("s.value").eqNullSafe(F.col("_value")) & (F.col("s.unit") == F.col("_unit")), "left_anti"))
     units = F.broadcast(unit_table(rows.sparkSession))
     t = F.translate(fold(F.col(text)), "²³", "23")
     q = rows.select(F.col(key), F.posexplode(F.regexp_extract_all(t, F.lit(f"({QUANTITY})"), 1)).alias("pos", "q"))
@@ -205,7 +213,8 @@ def facts(rows: DataFrame, key: str, text: str) -> DataFrame:
     div = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in scale.items()))
     measured = m.select(key, "pos", "kind", F.round((figure_value(figure) * F.col("factor")).cast("double") / div, 4).alias("value"), F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in common.items())).alias("unit"))
     others = {"poles": r"(\d+) ?polos", "protection": r"\bip ?(\d{2})\b", "wires": r"(\d+) ?fios", "area_mm2": r"(\d+(?:[.,]\d+)?) ?mm2"}
-    each = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit(".")).try_cast("double").alias("value")) for k, p in others.items())), lambda x: x["value"].isNotNull())
+    named_ = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), F.replace(x, F.lit(","), F.lit(".")).try_cast("double").alias("value"))
+    each = F.filter(F.concat(*(F.transform(F.regexp_extract_all(t, F.lit(p), 1), named_(k)) for k, p in others.items())), lambda x: x["value"].isNotNull())
     named = rows.select(F.col(key), F.posexplode(each).alias("pos", "x")).select(key, (F.col("pos") + 1000).alias("pos"), "x.kind", "x.value", F.lit("").alias("unit"))
     return measured.unionByName(named)
 

@@ -621,7 +621,7 @@ def cls2_scored_types(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def cls8_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return features.facts(table(spark, sf, "product"), "id", "name")
+    return features.facts(table(spark, sf, "product"), "id", "name", "specs_json")
 
 
 @query()

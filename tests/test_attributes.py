@@ -26,6 +26,11 @@ def test_facts(spark):
     assert rows(features.facts(df, "id", "t"), "id", "kind", "value") == [("a", "poles", 4.0), ("a", "power", 367.7494), ("a", "protection", 55.0), ("a", "voltage", 220.0), ("c", "area_mm2", 2.5), ("c", "length", 100000.0)]
 
 
+def test_facts_of_specifications_and_repeats(spark):
+    df = spark.createDataFrame([("a", "Motor 2 polos ou 4 polos 220 V", '[{"label": "Tensão", "value": "220 V"}, {"label": "Pressão", "value": "2 bar"}, {"label": "Potência", "value": "5 W"}]'), ("b", None, None)], "id string, t string, s string")
+    assert rows(features.facts(df, "id", "t", "s"), "id", "kind", "value") == [("a", "poles", 2.0), ("a", "poles", 4.0), ("a", "power", 5.0), ("a", "pressure", 200.0), ("a", "voltage", 220.0)]
+
+
 def test_specs(spark):
     df = spark.createDataFrame([("Largura: 2 m\nx\nComprimento : 3",)], "t string")
     assert [tuple(s) for s in df.select(features.parsed_specs(F.col("t"))).first()[0]] == [("Largura", "2 m"), ("Comprimento", "3")]
