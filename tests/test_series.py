@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
-from insumo.operators.series import implausible, latest
+import numpy as np
+
+from insumo.operators.series import implausible, latest, median_of
 
 SCHEMA = "ingest_seq long, id string, product_id string, supplier_id string, final_price double, updated_at string, note string"
 
@@ -60,4 +62,13 @@ def test_hot_series_in_chunks_give_the_same(spark):
             s[i] *= 2 + k
         s[30:37] = [s[30]] * 7
     df = offers(spark, series)
-    assert flags(df) == flags(df, hot_rows=10, chunk_rows=11) != {}
+    one = flags(df, parts=1)
+    assert one == flags(df, parts=7) == flags(df, parts=40) != {}
+
+
+def test_exact_median_of_long_series(spark):
+    r = random.Random(3)
+    values = {k: [r.randrange(2**50) >> r.randrange(40) for _ in range(n)] for k, n in (("odd", 101), ("even", 40), ("one", 1), ("equal", 7))}
+    values["equal"] = [5] * 7
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v long")
+    assert {r.k: r.median for r in median_of(df, ["k"]).collect()} == {k: float(np.median(v)) for k, v in values.items()}
