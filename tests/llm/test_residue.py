@@ -28,5 +28,24 @@ def test_mentions_excuse_only_the_slots_they_govern(spark):
     assert {r.doc_id for r in residue(df).filter("kind = 'slot'").collect()} == set(range(len(unfilled)))
 
 
+FILLED = ["Prezado João Silva, segue a proposta.", "Prezado Otávio, segue a proposta.", "Prezado Comprador, segue a proposta.", "Veja o pedido 12 para Campinas.", "Veja o pedido 9 para Santos.", "Veja o pedido AB para Vitória."]
+MENU = "\n" + " ".join(["Início Produtos Cabos Válvulas Tubos Contato Carrinho Conta Entrar Ajuda"] * 6)
+
+
+def test_aligned_records_show_names_and_blanks_in_their_slots(spark):
+    kept = ["Prezado [NOME DO CLIENTE], segue a proposta.", "Veja o pedido NUM_PEDIDO para CIDADE.", "Veja o pedido  para ."]
+    other = ["Visto [NA DOCA] pelo turno.", "O lote TIPO_X ficou na doca.", "Cabo  azul  de  seis  metros  para  o  pedido", "Total  UN  R$ 12 ."]
+    df = spark.createDataFrame(list(enumerate(kept + FILLED + other)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.kind) for r in residue(df).collect()) == [(0, "slot"), (1, "slot"), (2, "blank")]
+
+
+def test_message_pages_of_any_length(spark):
+    prose = " ".join([GOOD.strip()] * 3)
+    texts = ["Erro 404. Página não encontrada." + MENU, "Acesso negado. " + prose, prose + " Ontem a página não foi encontrada no portal e o comprador ligou."]
+    long = ["Falha 0x%x ao abrir %d. " % (i, i) + "Tente de novo. " * 2 + "Volte ao menu. Conta. Carrinho. Ajuda. Produtos de hoje. Ofertas da semana. Cabos. Tubos. Chapas lisas. Graxas. Tintas. Motores. Luvas. Veja mais. Fale conosco. Siga-nos. Mapa." for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts + long)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.kind) for r in residue(df).collect()) == [(0, "message"), (3, "message"), (4, "message"), (5, "message")]
+
+
 def test_empty(spark):
     assert residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
