@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where it is unset, as in tests on one machine, a temporary folder is made and set."""
+    """The session's spark.checkpoint.dir. Only where it is unset and Spark runs on one machine, as in tests, a temporary folder is made
+    and set; executors elsewhere couldn't read that, so there an error is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _local_dir()
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,12 +35,21 @@ def _local_dir() -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table written now. The table stays until the session's end, as results read it."""
+    """The rows of df from a Parquet table written now. The table stays until forget() or the session's end, as results read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/insumo-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of saved() that nothing reads any more, as those of finished rounds."""
+    for t in tables:
+        if path := getattr(t, "saved_at", None):
+            _drop(t.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
