@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from insumo.functions.text import fold
 from insumo.functions.units import figure_value, spread_x, unit_table
+from insumo.llm.graph import components
 from insumo.operators.measures import statements
 from insumo.sources.shared import saved
 
@@ -73,8 +74,8 @@ def code_key(code: Column) -> Column:
 
 
 def gtin_key(text: Column) -> Column:
-    """The first 8, 12, 13 or 14 figures of a text whose check digit is right, as 14 figures."""
-    digits = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{8}|\d{12,14})(?!\d)"), 1)
+    """The first 12, 13 or 14 figures of a text whose check digit is right, as 14 figures; 8 figures only where they are said to be one."""
+    digits = F.regexp_extract_all(text, F.lit(r"((?<=(?i:ean|gtin)[^0-9a-z]{0,9})\d{8}|(?<!\d)\d{12,14})(?!\d)"), 1)
     padded = F.transform(digits, lambda d: F.lpad(d, 14, "0"))
     total = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), lambda a, i: a + F.substring(d, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 3).otherwise(1))
     return F.get(F.filter(padded, lambda d: (total(d) % 10 == 0) & (d != "0" * 14)), F.lit(0))
@@ -167,38 +168,66 @@ def _needed(kind: Column) -> Column:
     return F.coalesce(*(F.when(kind == k, F.array(*map(F.lit, [*(f for f in FIELDS if f in PROPERTIES[k] or f in READ.get(k, {})), *MEASURES[k]]))) for k in KINDS), F.array().cast("array<string>"))
 
 
-def items(features_: DataFrame) -> DataFrame:
-    """id, side, item: rows of one item have one item key; rows that state too little have none.
+def keyed(features_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, side, tuple, stated, parts) and (id, key): rows with what they state, and their reliable keys.
 
-    Reliable keys are the whole set of properties (kind, brand, what tells siblings apart, measures), a code and a GTIN. A
-    row that states the whole set is of that item. The others join the whole set of the rows with their code or GTIN, if one
-    whole set alone agrees with all that they state (the guard); where no row with the code states a whole set, those that
-    agree on what they state are one item. So components are stars about a whole set or a code, found by joins on hashed
-    keys; a code on rows that contradict one another links none of them."""
+    Keys are g: a GTIN with a right check digit, c: a maker's code, t: the whole set of what makes an item of its kind (brand,
+    what tells siblings apart, measures), for rows that state it all. `stated` has kind, brand, properties and measures as
+    name=value, for rows of any kind."""
     value = lambda f: F.coalesce(F.col(f), F.lit("")) if f in FIELDS else F.coalesce(F.col("m")[f].cast("string"), F.lit(""))
     every = [*FIELDS, *dict.fromkeys(x for ms in MEASURES.values() for x in ms)]
-    needed = _needed(F.col("kind"))
     state = F.map_from_entries(F.array(*(F.struct(F.lit(f).alias("k"), value(f).alias("v")) for f in every)))
-    rows = features_.withColumn("needed", needed).withColumn("state", state)
+    rows = features_.withColumn("needed", _needed(F.col("kind"))).withColumn("state", state)
     # a grade belongs to stainless items alone
     optional = F.when(F.col("kind").isin("tubo", "chapa", "valvula") & (F.coalesce("material", F.lit("")) != "inox"), F.array(F.lit("grade"))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("needed", F.array_except("needed", optional))
     parts = F.concat(F.array(F.coalesce("kind", F.lit("")), F.coalesce("brand", F.lit(""))), F.transform("needed", lambda n: F.col("state")[n]))
-    rows = rows.withColumn("parts", parts).withColumn("whole", F.col("kind").isNotNull() & F.col("brand").isNotNull() & ~F.array_contains("parts", "")).withColumn("tuple", F.when(F.col("whole"), F.array_join("parts", "|")))
-    rows = saved(rows.select("id", "side", "code", "gtin", "kind", "parts", "whole", "tuple"), "items")
-    keyed = rows.select("id", "parts", "tuple", "whole", F.explode(F.array_compact(F.array(F.when(F.col("code").isNotNull(), F.concat(F.lit("c:"), "code")), F.when(F.col("gtin").isNotNull(), F.concat(F.lit("g:"), "gtin"))))).alias("key"))
-    wholes = keyed.filter("whole").select("key", "tuple", F.col("parts").alias("theirs")).distinct()
-    partial = keyed.filter("not whole").drop("tuple", "whole")
-    agrees = (F.size("parts") == F.size("theirs")) & F.forall(F.arrays_zip("parts", "theirs"), lambda z: (z["parts"] == "") | (z["parts"] == z["theirs"]))
-    # stated kinds differ in length of parts; a row without kind agrees by its brand alone
-    loose = (F.get("parts", F.lit(0)) == "") & ((F.get("parts", F.lit(1)) == "") | (F.get("parts", F.lit(1)) == F.get("theirs", F.lit(1))))
-    fits = partial.join(wholes, "key").filter(agrees | loose).groupBy("id").agg(F.collect_set("tuple").alias("fit")).filter(F.size("fit") == 1).select("id", F.get("fit", F.lit(0)).alias("fit"))
-    # no whole set under the code: what the rows state together, if they don't contradict one another
-    orphan = partial.join(wholes.select("key").distinct(), "key", "left_anti").filter(F.get("parts", F.lit(0)) != "")
-    slots = orphan.select("id", "key", F.get("parts", F.lit(0)).alias("kind"), F.posexplode("parts").alias("at", "v"))
-    clash = slots.filter("v <> ''").groupBy("key", "kind", "at").agg(F.count_distinct("v").alias("n")).groupBy("key").agg(F.max("n").alias("n"), F.count_distinct("kind").alias("k")).filter("n = 1 and k = 1").select("key")
-    by_code = orphan.join(clash, "key").groupBy("id").agg(F.min("key").alias("by_code"))
-    return rows.join(fits, "id", "left").join(by_code, "id", "left").select("id", "side", F.coalesce("tuple", "fit", "by_code").alias("item")).filter("item is not null")
+    # what a kind doesn't need isn't told apart by; of an unknown kind, measures alone are told
+    told = F.when(F.col("kind").isNotNull(), F.col("needed")).otherwise(F.array(*map(F.lit, (f for f in every if f not in FIELDS))))
+    stated = F.filter(F.concat(F.array(F.struct(F.lit("kind").alias("k"), F.coalesce("kind", F.lit("")).alias("v")), F.struct(F.lit("brand").alias("k"), F.coalesce("brand", F.lit("")).alias("v"))), F.transform(told, lambda n: F.struct(n.alias("k"), F.col("state")[n].alias("v")))), lambda x: x["v"] != "")
+    rows = rows.withColumn("parts", parts).withColumn("stated", stated).withColumn("whole", F.col("kind").isNotNull() & F.col("brand").isNotNull() & ~F.array_contains("parts", ""))
+    rows = saved(rows.select("id", "side", "code", "gtin", "parts", "stated", F.when(F.col("whole"), F.array_join("parts", "|")).alias("tuple")).distinct(), "items")
+    named = lambda c, name: F.when(F.col(c).isNotNull(), F.concat(F.lit(name), c))
+    keys = rows.select("id", F.explode(F.array_compact(F.array(named("code", "c:"), named("gtin", "g:"), named("tuple", "t:")))).alias("key"))
+    return rows.drop("code", "gtin"), keys
+
+
+def items(features_: DataFrame) -> DataFrame:
+    """id, side, item: rows of one item have one item key; rows without a reliable key have none.
+
+    Rows are linked through the keys that they share (GTIN, maker's code, whole set of attributes), each guarded: a key whose
+    rows state two values of one attribute links none of them, and such rows take part by their whole set, or by the only
+    whole set under the key that agrees with all that they state. Connected components of the keys, by label propagation until
+    nothing moves, are the items. A component that holds two whole sets is split into these by the same rule. The graph's nodes are keys, not
+    rows, so copies of a row, however many, add nothing to it; keys are guarded by aggregates, never by pairs of rows."""
+    rows, keys = keyed(features_)
+    hard = keys.filter("key not like 't:%'").join(rows, "id")
+    values = hard.select("key", F.explode("stated").alias("s")).groupBy("key", "s.k").agg(F.min("s.v").alias("least"), F.max("s.v").alias("most"))
+    torn = saved(values.filter("least <> most").select("key").distinct(), "torn-keys")
+    # rows under a torn key: the only whole set there that agrees
+    under = hard.join(torn, "key")
+    wholes = under.filter("tuple is not null").select("key", "tuple", F.col("stated").alias("theirs")).distinct()
+    agrees = F.forall("stated", lambda s: ~F.exists("theirs", lambda t: (t["k"] == s["k"]) & (t["v"] != s["v"])))
+    fits = lambda partial, wholes: partial.drop("tuple").join(wholes, "key").filter(agrees).groupBy("id").agg(F.min("tuple").alias("least"), F.max("tuple").alias("most")).filter("least = most").select("id", F.concat(F.lit("t:"), "least").alias("key"))
+    good = saved(keys.join(torn, "key", "left_anti").union(fits(under.filter("tuple is null"), wholes)).distinct(), "good-keys")
+    label = components(good.groupBy("id").agg(F.min("key").alias("x"), F.collect_set("key").alias("ys")).select("x", F.explode("ys").alias("y")).distinct())
+    label = label.withColumnRenamed("node", "key")
+    of_row = saved(good.join(label, "key").groupBy("id").agg(F.min("label").alias("label")), "labelled")
+    # components with several whole sets
+    sets = label.filter("key like 't:%'").groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+    split = of_row.join(sets, "label").join(rows, "id")
+    theirs = split.filter("tuple is not null").select(F.col("label").alias("key"), "tuple", F.col("stated").alias("theirs")).distinct()
+    by_set = split.filter("tuple is not null").select("id", F.concat(F.lit("t:"), "tuple").alias("key")).union(fits(split.filter("tuple is null").withColumn("key", F.col("label")), theirs))
+    whole = of_row.join(sets, "label", "left_anti").select("id", F.col("label").alias("item"))
+    return whole.union(by_set.select("id", F.col("key").alias("item"))).join(rows.select("id", "side"), "id").select("id", "side", "item")
+
+
+def kinds_of_key(features_: DataFrame) -> DataFrame:
+    """key_kind (gtin, code, attributes), rows_ that have such a key, shared: rows that share it with another row."""
+    _, keys = keyed(features_)
+    n = keys.groupBy("key").agg(F.count_distinct("id").alias("n"))
+    kind = F.when(F.col("key").like("g:%"), "gtin").when(F.col("key").like("c:%"), "code").otherwise("attributes")
+    return n.groupBy(kind.alias("key_kind")).agg(F.sum("n").alias("rows_"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared"))
 
 
 def listing_rows(candidates: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from insumo.functions.text import plain
+from insumo.llm.graph import components
 from insumo.sources.shared import saved
 
 #: Sizes of the character n-grams; cosine from which two spellings are linked; average from which groups are joined, and
@@ -107,23 +108,6 @@ def links(names: DataFrame, least: float = LINKED) -> DataFrame:
     return near.union(slips).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each component of edges (x, y), by label propagation with pointer jumping, a table a round,
-    until no label changes."""
-    both = saved(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "edges")
-    state = saved(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    while True:
-        near = both.join(state.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        step = state.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = step.alias("s").join(step.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
-        new = saved(jump.select("node", F.least("label", "up").alias("label"), "old"), "labels")
-        changed = new.filter("label <> old").limit(1).count()
-        state = new.drop("old")
-        if not changed:
-            break
-    return state
-
-
 def _joined(least: float, unlinked: float):
     """The rounds of average_linkage over the groups of one component: rows p, q, over, np, nq to rows party, into."""
 

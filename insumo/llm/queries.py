@@ -26,6 +26,12 @@ def p2_items(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.join(sizes, "item").select("id", "side", "item", "listings", "products")
 
 
+def p2_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind of reliable key: listings and products that have one, and that share it."""
+    rows = listings.listing_rows(table(spark, sf, "match_candidate")).unionByName(listings.product_rows(table(spark, sf, "product")))
+    return listings.kinds_of_key(listings.features(rows))
+
+
 def _unnamed(spark: SparkSession, sf: str) -> DataFrame:
     valid = latest(table(spark, sf, "offers").select("id", "ingest_seq", "supplier_id", "supplier_name"))
     return valid.filter("supplier_id is null and supplier_name is not null").select("id", F.col("supplier_name").alias("name"))
@@ -95,7 +101,7 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(docs).distinct().join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("kind", "source").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_items, p3_found, p3_parties, p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_items, p2_keys, p3_found, p3_parties, p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
 ORACLES = {
     "p6_found": """
 with valid as (select * from (select *, row_number() over (partition by id order by ingest_seq desc) as rn from offers where id is not null) where rn = 1),

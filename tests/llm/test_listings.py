@@ -30,6 +30,14 @@ def test_code_of_contradicting_rows_links_nothing(spark):
     assert pairs(spark, cands) == []
 
 
+def test_keys_link_rows_of_any_kind_and_chains_of_keys(spark):
+    breaker = [("a1", "Disjuntor SH201 20A", "disjuntor", "Xotele", "SH201-C20", []), ("a2", "Disjuntor mono curva C", "disjuntor", "Xotele", "SH201C20", []), ("a3", "Disjuntor mono", "disjuntor", "Outrama", "SH201C20X", [])]
+    # two listings share a GTIN, one of them shares a code with a third
+    chain = [("b1", "Rolamento 4006381333931", None, None, None, []), ("b2", "Rolamento blindado 4006381333931", None, None, "ROL6203ZZ", []), ("b3", "Rol. esferas", None, None, "ROL-6203-ZZ", []), ("b4", "Rol. esferas", None, None, None, [])]
+    torn = [("c1", "Rele", None, "Xotele", "REL7203ZZ", []), ("c2", "Rele", None, "Outrama", "REL7203ZZ", [])]
+    assert pairs(spark, breaker + chain + torn) == [("a1", "a2"), ("b1", "b2"), ("b1", "b3"), ("b2", "b3")]
+
+
 def test_gtin_and_empty(spark):
     assert pairs(spark, []) == []
     df = spark.createDataFrame([("x 4006381333931",), ("x 4006381333932",), ("00000000",), (None,)], "t string")
