@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from insumo.functions.text import plain
 from insumo.llm.graph import components
-from insumo.sources.shared import saved
+from insumo.sources.shared import forget, saved
 
 #: Sizes of the character n-grams; cosine from which two spellings are linked; average from which groups are joined, and
 #: what a pair of spellings counts there that isn't linked.
@@ -21,24 +21,42 @@ SHORT = 4
 # Fixed values (folded): words that tell nothing of who it is: legal forms, lines of business with their short forms, titles, particles.
 LEGAL = r"ltda|me|epp|eireli|s ?a|sa|cia|mei|grupo|sr|sra|sr a|srs|matriz|filial(?: \d+)?|fil(?: \d+)?|inc|llc|corp"
 BUSINESS = r"abras(?:ivos?)?|borr(?:ach(?:as?|arias?|aria))?|hidr(?:aul(?:ic[ao]s?)?)?|ferr(?:ag(?:em|ens)?|am(?:entas?|entaria)?|tas|amentas)?|rol(?:am(?:entos?)?)?|paraf(?:s|usos?)?|soldas?|gases|tubos?|con(?:ex(?:oes)?)?|mat(?:eriais|erial)?|eletr(?:icos?|ica)?|elet|m|ind(?:ustria|ustrial)?|metal(?:urgica)?|com(?:ercio|ercial)?|tintas?|dist(?:rib(?:uidor(?:a|es)?)?)?|equip(?:amentos?)?|eqptos?|prot(?:ecao)?|epis?|e|de|da|do|das|dos|a|o|s"
-GIVEN = r"aparecida|ap|cida|antonio|ant|toninho|tonho|benedito|bene|ben|dito|eduardo|edu|dudu|fernanda|fe|fern|nanda|francisco|fco|chico|kiko|guilherme|guilh|gui|jose|j|ze|raimunda|raim|mundinha|roberto|rob|beto|sebastiao|seb|tiao|terezinha|ter|tere|tete|teca|joao|maria|ana|paulo|carlos|luiz|luis"
+# Fixed values (folded): given names with their short forms and pet names.
+GIVEN_NAMES = {"aparecida": "ap cida", "antonio": "ant toninho tonho", "benedito": "bene ben dito", "eduardo": "edu dudu", "fernanda": "fe fern nanda", "francisco": "fco chico kiko", "guilherme": "guilh gui", "jose": "j ze", "raimunda": "raim mundinha", "roberto": "rob beto", "sebastiao": "seb tiao", "terezinha": "ter tere tete teca", "joao": "", "maria": "", "ana": "", "paulo": "", "carlos": "", "luiz": "luis"}
+GIVEN = "|".join(w for k, v in GIVEN_NAMES.items() for w in (k, *v.split()))
+# Fixed values (folded): beginnings of the lines of business that tell one from another, and the line that they stand for; two words of one line are one.
+LINES = {"abr": "abr", "bor": "bor", "hid": "hid", "fer": "fer", "rol": "rol", "par": "par", "sol": "sol", "gas": "sol", "tub": "tub", "con": "tub", "ele": "ele", "met": "met", "tin": "tin", "dis": "dis", "equ": "equ", "eqp": "equ", "epi": "equ", "pro": "equ"}
 # Fixed values (folded): first words of places, as a branch is named after.
 PLACES = r"serra|morro|ribeira|lagoa|santa|santo|sao|porto|campo|vila|nova|novo|praia|monte|rio|alto|jardim|parque|cidade|barra"
 
 
-def core(name: Column) -> Column:
-    """The words that tell who a name means, sorted; NULL if there are none.
-
-    Look-alike characters, accents and case are folded, words run together with capitals are parted, and branch, legal form,
-    line of business, title and given name are left out."""
+def _words_of(name: Column) -> Column:
+    """A name between blanks: look-alike characters, accents and case folded, words run together with capitals parted, the branch left out."""
     x = F.lower(F.regexp_replace(plain(name), r"(?<=[a-z])(?=[A-Z])", " "))
     x = F.regexp_replace(x, rf"\s-\s*(?:{PLACES})\b[^-]*$", " ")
-    x = F.concat(F.lit(" "), F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " ")), F.lit(" "))
-    x = F.regexp_replace(x, rf"(?<= )(?:{LEGAL}|{BUSINESS}|{GIVEN})(?= )", "")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def core(name: Column) -> Column:
+    """The words that tell most who a name means, sorted; NULL if there are none. Legal form, line of business, title and given name aren't among them."""
+    x = F.regexp_replace(_words_of(name), rf"(?<= )(?:{LEGAL}|{BUSINESS}|{GIVEN})(?= )", "")
     words = F.filter(F.split(x, r"\s+"), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d+$"))
     return F.nullif(F.array_join(F.array_sort(words), " "), F.lit(""))
 
 
+def spelling(name: Column) -> Column:
+    """node, core, given, lines: a name's core with its given names (pet names as the name they stand for) and lines of business, sorted.
+    Initials stand for any name. node is all three as one text; NULL without a core."""
+    words = F.split(F.trim(_words_of(name)), " ")
+    names = F.create_map(*(F.lit(x) for k, v in GIVEN_NAMES.items() for w in (k, *v.split()) if len(w) > 1 for x in (w, k)))
+    lines = F.create_map(*(F.lit(x) for kv in LINES.items() for x in kv))
+    given = F.array_sort(F.array_distinct(F.array_compact(F.transform(words, lambda w: F.try_element_at(names, w)))))
+    of_line = F.filter(words, lambda w: w.rlike(rf"^(?:{BUSINESS})$"))
+    line = F.array_sort(F.array_distinct(F.array_compact(F.transform(of_line, lambda w: F.try_element_at(lines, F.substring(w, 1, 3))))))
+    c = core(name)
+    return F.when(c.isNotNull(), F.struct(F.concat_ws("|", c, F.array_join(given, " "), F.array_join(line, " ")).alias("node"), c.alias("core"), given.alias("given"), line.alias("lines")))
+
+
 def _forms(text: Column) -> Column:
     """A spelling and the short ones made of it: the first word cut (Dori Molele), and its start with the other's end (Dorilele).
     Either word may be the first."""
@@ -183,7 +201,9 @@ def average_linkage(clusters: DataFrame, edges: DataFrame, least: float = JOINED
         merged = best.alias("l").join(best.alias("r"), (F.col("l.q") == F.col("r.p")) & (F.col("r.q") == F.col("l.p"))).filter("l.p > l.q").select(F.col("l.p").alias("party"), F.col("l.q").alias("into"))
         new = saved(state.join(merged, "party", "left").select("core", F.coalesce("into", "party").alias("party"), F.col("into").isNotNull().alias("moved")), "clusters")
         moved = new.filter("moved").limit(1).count()
+        forget(state, avg)
         state = new.drop("moved")
+        state.saved_at = new.saved_at
         if not moved:
             return state
     rest = saved(averages(state), "averages")
@@ -196,17 +216,26 @@ def average_linkage(clusters: DataFrame, edges: DataFrame, least: float = JOINED
 def parties(records: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, party) of records and of queries. records: id, name, a row for each name that a record bears; queries: id, name.
 
-    Spellings of one record are one party to begin with, and so are records with an equal core. Names without a core mean
+    Spellings of one record are one party to begin with, and so are records with an equal spelling. Cores are linked by links(); two
+    spellings have the cosine of their cores (1 if equal), or 0 if both state given names, or both lines of business, and have
+    none in common: Maria and Antonio of one surname stay apart, whoever else bears the surname alone. Names without a core mean
     nobody. Null names are left out; repeated rows count once."""
-    known = saved(records.select("id", core(F.col("name")).alias("core")).filter("core is not null").distinct(), "known")
-    asked = saved(queries.select("id", core(F.col("name")).alias("core")).filter("core is not null").distinct(), "asked")
-    cores = saved(known.select("core").union(asked.select("core")).distinct(), "cores")
-    edges = saved(links(cores), "links")
-    start = components(known.select(F.concat(F.lit("c:"), "core").alias("x"), F.concat(F.lit("r:"), "id").alias("y")))
+    named = lambda rows: saved(rows.select("id", F.explode(F.array_compact(F.array(spelling(F.col("name"))))).alias("s")).select("id", "s.*").distinct(), "named")
+    known, asked = named(records), named(queries)
+    nodes = saved(known.select("node", "core", "given", "lines").union(asked.select("node", "core", "given", "lines")).distinct(), "nodes")
+    of_cores = links(nodes.select("core").distinct())
+    side = lambda n: nodes.select(*(F.col(c).alias(f"{n}_{c}") for c in nodes.columns))
+    apart = lambda c: (F.size(f"a_{c}") > 0) & (F.size(f"b_{c}") > 0) & ~F.arrays_overlap(f"a_{c}", f"b_{c}")
+    linked = of_cores.join(side("a"), F.col("a") == F.col("a_core")).join(side("b"), F.col("b") == F.col("b_core")).select("a_node", "b_node", "a_given", "b_given", "a_lines", "b_lines", "cosine")
+    equal = side("a").join(side("b"), (F.col("a_core") == F.col("b_core")) & (F.col("a_node") < F.col("b_node"))).select("a_node", "b_node", "a_given", "b_given", "a_lines", "b_lines", F.lit(1.0).alias("cosine"))
+    cosine = F.when(apart("given") | apart("lines"), 0.0).otherwise(F.col("cosine"))
+    edges = saved(linked.union(equal).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), cosine.alias("cosine")), "links")
+    start = components(known.select(F.concat(F.lit("c:"), "node").alias("x"), F.concat(F.lit("r:"), "id").alias("y")))
     begun = start.filter("node like 'c:%'").select(F.substr("node", F.lit(3)).alias("core"), F.col("label").alias("party"))
-    begun = cores.join(begun, "core", "left").select("core", F.coalesce("party", F.concat(F.lit("c:"), "core")).alias("party"))
+    begun = nodes.select(F.col("node").alias("core")).join(begun, "core", "left").select("core", F.coalesce("party", F.concat(F.lit("c:"), "core")).alias("party"))
     state = average_linkage(begun, edges)
-    return known.join(state, "core").select("id", "party").distinct(), asked.join(state, "core").select("id", "party").distinct()
+    party = lambda rows: rows.select("id", F.col("node").alias("core")).join(state, "core").select("id", "party").distinct()
+    return party(known), party(asked)
 
 
 def same_party_pairs(suppliers: DataFrame, offers: DataFrame) -> DataFrame:

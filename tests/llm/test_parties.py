@@ -78,3 +78,11 @@ def test_average_linkage_is_the_same_after_any_number_of_rounds(spark):
 
 def test_empty(spark):
     assert pairs(spark, [], []) == set()
+
+
+def test_given_names_and_lines_of_business_keep_apart(spark):
+    rows = [("s1", "Maria Fipunol", None), ("s2", "Antonio Fipunol", None), ("s3", "Toninho Fipunol", None), ("s4", "Tubos Zuteco Ltda", None), ("s5", "Tintas Zuteco", None), ("s6", "ZUTECO TUBOS E CONEXOES", None)]
+    suppliers = spark.createDataFrame(rows, "id string, name string, aliases_json string")
+    offers = spark.createDataFrame([("o1", "Maria Fipunol")], "id string, name string")
+    got = sorted((r.key_a, r.key_b) for r in parties.same_party_pairs(suppliers, offers).collect())
+    assert got == [("o1", "s1"), ("s2", "s3"), ("s4", "s6")]
