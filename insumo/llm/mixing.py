@@ -77,7 +77,10 @@ def mix(tokens: DataFrame, targets: DataFrame, seed: int = 9, domains: dict[str,
     leaves = full.groupBy("source", "lang").agg(F.sum("tokens").alias("t")).limit(LEAVES + 1).collect()
     if len(leaves) > LEAVES:
         raise ValueError(f"over {LEAVES} pairs of source and language")
-    wanted = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in targets.filter("source is not null").limit(LEAVES).collect()}
+    asked = targets.filter("source is not null").limit(LEAVES + 1).collect()
+    if len(asked) > LEAVES:
+        raise ValueError(f"over {LEAVES} targets")
+    wanted = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in asked}
     plan = budgets([(r.source, r.lang, r.t) for r in leaves], wanted, sum(r.t for r in leaves), domains)
     rows = []
     for r in leaves:

@@ -91,6 +91,18 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(tokens, targets, mixing.mix(tokens, targets))
 
 
+#: Two domains of sources: texts of trade with other parties, and texts of the house.
+DOMAINS = {"cotacao_email": "trade", "nota_fiscal": "trade", "pagina_fornecedor": "trade", "chat_compras": "trade", "ficha_tecnica": "house", "relato_auditoria": "house", "manual_uso": "house"}
+
+
+def p9_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Per domain: target and actual share, where a source's shortage goes to the sources of its domain before others."""
+    tokens, targets = mixing.counted(table(spark, sf, "documents")), table(spark, sf, "mix_target")
+    got = mixing.shares(tokens, targets, mixing.mix(tokens, targets, domains=DOMAINS))
+    named = F.coalesce(*(F.when(F.col("source") == s, F.lit(d)) for s, d in DOMAINS.items()), F.lit("other"))
+    return got.groupBy(named.alias("domain")).agg(F.round(F.sum("target_share"), 6).alias("target_share"), F.round(F.sum("actual_share"), 6).alias("actual_share"), F.sum("used").alias("used"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -101,7 +113,7 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(docs).distinct().join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("kind", "source").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_items, p2_keys, p3_found, p3_parties, p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_report)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_items, p2_keys, p3_found, p3_parties, p6_found, p7_found, p7_canonical, p8_found, p8_items, p9_mix, p9_shares, p9_domains, p10_found, p10_report)}
 ORACLES = {
     "p6_found": """
 with valid as (select * from (select *, row_number() over (partition by id order by ingest_seq desc) as rn from offers where id is not null) where rn = 1),
