@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from insumo.functions.norms import norm, norm_audit
+from insumo.functions.norms import norm, norm_audit, squeeze
 from insumo.functions.numbers import iso_date, rounded
 from insumo.operators.history import current_offers, days_since, positive
 
@@ -94,13 +94,25 @@ def search_rollup(searches: DataFrame, broad: int = 100) -> DataFrame:
     return out.withColumn("weight", F.col("zero") * 10 + F.col("broad") + F.col("uses"))
 
 
-# A part of a reason's text, and the group it belongs to.
-ISSUE_GROUPS = [("fornecedor", "supplier"), ("data", "date"), ("codigo", "code"), ("preco", "price"), ("duplic", "duplicate"), ("descri", "description")]
+# Parts of a reason's normal form, the group that they tell (the first that fits holds), and how grave each group is.
+ISSUE_GROUPS = [("duplicate", ["codigo aparece"]), ("date", ["data"]), ("name", ["nome", "medida", "polos incomum"]), ("missingPrice", ["sem preco"]), ("missingCode", ["sem codigo"])]
+SEVERITIES = {"duplicate": "critical", "date": "critical", "name": "warning", "missingPrice": "info", "missingCode": "info", "other": "warning"}
 
 
-def issue_group(reason: Column) -> Column:
-    low = norm(reason)
-    return F.coalesce(*(F.when(low.contains(k), F.lit(v)) for k, v in ISSUE_GROUPS), F.lit("other"))
+def issue_group(low: Column) -> Column:
+    """The group of a reason in its normal form."""
+    return F.coalesce(*(F.when(low.contains(p), F.lit(k)) for k, parts in ISSUE_GROUPS for p in parts), F.lit("other"))
+
+
+def severity(group: Column) -> Column:
+    return F.coalesce(*(F.when(group == k, F.lit(v)) for k, v in SEVERITIES.items()), F.lit("warning"))
+
+
+def grave_issues(reasons: DataFrame) -> DataFrame:
+    """One row: reasons (column reason) of critical and of warning groups, and both."""
+    forms = reasons.select(F.explode(F.array(norm(F.col("reason")))).alias("low")).select(F.explode(F.array(severity(issue_group(F.col("low"))))).alias("level"))
+    level = F.col("level")
+    return forms.agg(F.count_if(level == "critical").alias("critical"), F.count_if(level == "warning").alias("warning"), F.count_if(level.isin("critical", "warning")).alias("grave"))
 
 
 def unresolved(reasons: Column, resolved: Column) -> Column:
@@ -110,7 +122,7 @@ def unresolved(reasons: Column, resolved: Column) -> Column:
 
 def issue_counts(events: DataFrame) -> DataFrame:
     """Per group of issues: events that have one, and how often, from the JSON list of each event's issues."""
-    each = events.select("id", F.explode(strings(F.col("quality_json"))).alias("reason")).select("id", issue_group(F.col("reason")).alias("issue_group"))
+    each = events.select("id", F.explode(strings(F.col("quality_json"))).alias("reason")).select("id", F.explode(F.array(norm(F.col("reason")))).alias("low")).select("id", issue_group(F.col("low")).alias("issue_group"))
     return each.groupBy("issue_group").agg(F.countDistinct("id").alias("events"), F.count("*").alias("issues"))
 
 
@@ -177,19 +189,29 @@ def document_frequency(docs: DataFrame, words: Column) -> DataFrame:
 
 
 def code_numbering(products: DataFrame) -> DataFrame:
-    """family_key, prefix, next: a family's most frequent code prefix (ties: the least) and the number after its largest."""
-    p = products.select(norm_audit(F.col("family")).alias("family_key"), F.regexp_extract(F.upper(F.coalesce("code", F.lit(""))), r"^([A-Z]{2,5})-", 1).alias("prefix"), F.regexp_extract("code", r"(\d+)$", 1).try_cast("long").alias("number")).filter("prefix <> ''")
-    by = p.groupBy("family_key", "prefix").agg(F.count("*").alias("n"), F.coalesce(F.max("number"), F.lit(0)).alias("last"))
-    top = Window.partitionBy("family_key").orderBy(F.col("n").desc(), "prefix")
-    return by.withColumn("rn", F.row_number().over(top)).filter("rn = 1").select("family_key", "prefix", (F.col("last") + 1).alias("next"))
+    """family_key, prefix, next: a family's most frequent code prefix (one to six letters before a number; ties: the least; without any,
+    the first two letters of its least name, or MA) and the number after the largest that any product's code has with that prefix."""
+    pattern = r"^([A-Za-z]{1,6})[-_. ]?(\d+)$"
+    code, family = F.trim(F.coalesce("code", F.lit(""))), squeeze(F.coalesce("family", F.lit("")))
+    p = products.select(norm_audit(F.col("family")).alias("family_key"), family.alias("family"), F.upper(F.regexp_extract(code, pattern, 1)).alias("prefix"), F.regexp_extract(code, pattern, 2).try_cast("long").alias("number"))
+    by = p.groupBy("family_key", "prefix").agg(F.count("*").alias("n"), F.max("number").alias("last"), F.min("family").alias("family"))
+    last = by.filter("prefix <> ''").groupBy("prefix").agg(F.max("last").alias("last"))
+    # rows without such a code count least
+    top = Window.partitionBy("family_key").orderBy((F.col("prefix") != "").desc(), F.col("n").desc(), "prefix")
+    mark = F.coalesce(F.nullif(F.col("prefix"), F.lit("")), F.nullif(F.upper(F.substring("family", 1, 2)), F.lit("")), F.lit("MA"))
+    return by.drop("last").withColumn("rn", F.row_number().over(top)).filter("rn = 1").withColumn("prefix", mark).join(last, "prefix", "left").select("family_key", "prefix", (F.coalesce("last", F.lit(0)) + 1).alias("next"))
 
 
 def numbered(products: DataFrame) -> DataFrame:
-    """id, new_code of products without code: their family's prefix and numbers from its next, in order of id."""
+    """id, new_code of products without code: their family's prefix and a number from its next on, in order of family and id over all
+    families with that prefix, so no code is given twice and none is in use. Bare products are ranked by (prefix, family), then shifted by
+    the families before, so no prefix is one task."""
     rules = code_numbering(products)
-    bare = products.filter(F.trim(F.coalesce("code", F.lit(""))) == "").select("id", norm_audit(F.col("family")).alias("family_key"))
+    bare = products.filter(F.trim(F.coalesce("code", F.lit(""))) == "").select("id", norm_audit(F.col("family")).alias("family_key")).join(rules, "family_key")
+    sizes = bare.groupBy("prefix", "family_key").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("prefix").orderBy("family_key")) - F.col("n")).select("family_key", "before")
     rank = F.row_number().over(Window.partitionBy("family_key").orderBy("id"))
-    return bare.join(rules, "family_key").select("id", F.concat("prefix", F.lit("-"), F.lpad((F.col("next") + rank - 1).cast("string"), 4, "0")).alias("new_code"))
+    return bare.join(before, "family_key").select("id", F.concat("prefix", F.lit("-"), F.lpad((F.col("next") + F.col("before") + rank - 1).cast("string"), 3, "0")).alias("new_code"))
 
 
 def supplier_relations(links: DataFrame, events: DataFrame) -> DataFrame:

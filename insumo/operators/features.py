@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from insumo.functions.norms import jaccard, norm, squeeze, token_set
 from insumo.functions.text import fold
 from insumo.functions.numbers import fuzzy_equal, to_mm, within
 from insumo.functions.units import QUANTITY, figure_value, unit_table
+from insumo.sources.shared import saved
 
 # Kind of material -> its words (the first that fits holds); labels of kinds; makers; usual units.
 TYPES = [("barra_chata", "barra chata|b chata"), ("chapa", r"chapas?|ch\.|folha metalica|lamina"), ("tubo", "tubos?|tubulacao"), ("fita", "silver tape|fita adesiva|fita"), ("parafuso", r"parafuso|paraf\."), ("porca", "porca"), ("arruela", "arruela"), ("rebite", "rebite"), ("cantoneira", "cantoneira|perfil l"), ("arame", "arame|fio de solda"), ("tela", "tela|malha"), ("flange", "flange"), ("tarugo", "tarugo"), ("conexao", "conexao|niple|nipple|luva|cotovelo|joelho|valvula|adaptador"), ("mangueira", "mangueira"), ("cabo", "cabo"), ("prensa_cabo", "prensa[ -]cabo"), ("rolamento", "rolamento|retentor"), ("adesivo", "adesivo|cola")]
@@ -26,9 +28,9 @@ _CHAIN = rf"(?<![A-Za-z0-9])(?i)({_VALUE})\s*({_UNIT})?\s*x\s*({_VALUE})\s*({_UN
 _SINGLE = rf"(?<![A-Za-z0-9])(?i){_VALUE}\s*{_UNIT}(?![A-Za-z0-9])"
 
 
-def material_type(text: Column) -> Column:
-    """Kind of material; '' for none, and for a flange outside an industrial context."""
-    n = F.concat(F.lit(" "), norm(text), F.lit(" "))
+def material_type(text: Column, form: Column | None = None) -> Column:
+    """Kind of material; '' for none, and for a flange outside an industrial context. form: the text's normal form, where it is at hand."""
+    n = F.concat(F.lit(" "), norm(text) if form is None else form, F.lit(" "))
     other = ~n.rlike(r"\b(?:aco|inox|aluminio|dn|ansi|npt|rosca|tubo|solda|industrial|alta pressao|valvula|conexao)\b")
     found = F.when(n.rlike(r" flange ") & other, "").when(n.rlike(r" ch\.? "), "chapa")
     for kind, words in TYPES:
@@ -36,8 +38,8 @@ def material_type(text: Column) -> Column:
     return found.otherwise("")
 
 
-def material(text: Column) -> Column:
-    n = norm(text)
+def material(text: Column, form: Column | None = None) -> Column:
+    n = norm(text) if form is None else form
     return F.coalesce(*(F.when(n.rlike(p), F.lit(v)) for v, p in MATERIALS), F.lit(""))
 
 
@@ -47,18 +49,18 @@ def materials(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(n.rlike(p), F.lit(v)) for v, p in MATERIALS)))
 
 
-def alloys(text: Column) -> Column:
+def alloys(text: Column, form: Column | None = None) -> Column:
     """Alloy grades, upper case, distinct, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm(text), F.lit(rf"\b(?:aisi\s*)?f?({ALLOYS})\b"), 1), F.upper))
+    return F.array_distinct(F.transform(F.regexp_extract_all(norm(text) if form is None else form, F.lit(rf"\b(?:aisi\s*)?f?({ALLOYS})\b"), 1), F.upper))
 
 
-def threads(text: Column) -> Column:
+def threads(text: Column, form: Column | None = None) -> Column:
     """Threads (M8, NPT, DN50), upper case without blanks, distinct."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm(text), F.lit(r"\b(npt|bspt?|unc|unf|m\s*\d+(?:[.,]\d+)?(?!\d*\s*(?:mm|m)\b)|dn\s*\d+)\b"), 1), lambda x: F.upper(F.replace(x, F.lit(" "), F.lit("")))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(norm(text) if form is None else form, F.lit(r"\b(npt|bspt?|unc|unf|m\s*\d+(?:[.,]\d+)?(?!\d*\s*(?:mm|m)\b)|dn\s*\d+)\b"), 1), lambda x: F.upper(F.replace(x, F.lit(" "), F.lit("")))))
 
 
-def schedule(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(norm(text), r"\b(?:sch|schedule)\s*(\d+)\b", 1), F.lit(""))
+def schedule(text: Column, form: Column | None = None) -> Column:
+    return F.nullif(F.regexp_extract(norm(text) if form is None else form, r"\b(?:sch|schedule)\s*(\d+)\b", 1), F.lit(""))
 
 
 def dimensions(text: Column) -> Column:
@@ -85,10 +87,9 @@ def canonical_label(label: Column) -> Column:
     return F.coalesce(*(F.when(n.rlike(p), F.lit(v)) for v, p in CANONICAL), F.nullif(squeeze(label), F.lit("")), F.lit("Característica"))
 
 
-def specs(text: Column, kind: Column) -> Column:
-    """array<struct<label, value>> of a description: material, alloys, schedule, thread, protection, colour, and dimensions by kind."""
-    n, d, t = norm(text), dimensions(text), threads(text)
-    m = material(text)
+def specs(n: Column, kind: Column, m: Column, grades: Column, d: Column, t: Column) -> Column:
+    """array<struct<label, value>> of a description: material, alloys, schedule, thread, protection, colour, and dimensions by kind. n: its
+    normal form; kind, m (material), grades, d (dimensions), t (threads): as parsed() gives them, each computed once."""
     one = lambda label, value, cond: F.when(cond, F.struct(F.lit(label).alias("label"), value.alias("value")))
     ip, colour = F.regexp_extract(n, r"\b(ip\s*\d{2,3})\b", 1), F.regexp_extract(n, rf"\b({COLOURS})\b", 1)
     labels = (
@@ -103,14 +104,19 @@ def specs(text: Column, kind: Column) -> Column:
     rest = F.when(labels.isNotNull(), by_kind).when(F.size(d) > 0, size).otherwise(F.array().cast("array<struct<label:string,value:string>>"))
     return F.concat(F.array_compact(F.array(
         one("Material", F.when(m == "inox", "Aço inoxidável").otherwise(F.translate(m, "_", " ")), m != ""),
-        one("Liga", F.array_join(alloys(text), ", "), F.size(alloys(text)) > 0),
-        one("Schedule", F.concat(F.lit("SCH "), schedule(text)), schedule(text).isNotNull()),
+        one("Liga", F.array_join(grades, ", "), F.size(grades) > 0),
+        one("Schedule", F.concat(F.lit("SCH "), schedule(n, n)), schedule(n, n).isNotNull()),
         one("Rosca", F.get(t, F.lit(0)), F.size(t) > 0),
         one("Proteção", F.upper(F.replace(ip, F.lit(" "), F.lit(""))), ip != ""),
         one("Cor", colour, colour != ""),
     )), rest)
 
 
+def specs_of(text: Column, kind: Column) -> Column:
+    """specs() of a text in one expression, for rows that parsed() doesn't go through."""
+    return specs(norm(text), kind, material(text), alloys(text), dimensions(text), threads(text))
+
+
 def maker(text: Column, explicit: Column) -> Column:
     n = norm(text)
     return F.coalesce(F.nullif(squeeze(explicit), F.lit("")), *(F.when(n.rlike(rf"\b{k}\b"), F.lit(v)) for k, v in MAKERS.items()), F.lit(""))
@@ -137,10 +143,26 @@ def alloy_fits(asked: Column, found: Column) -> Column:
     return F.exists(asked, lambda a: F.exists(found, lambda b: (a == b) | (~a.endswith("L") & (b == F.concat(a, F.lit("L"))))))
 
 
-def described(rows: DataFrame, text: str) -> DataFrame:
-    """rows with kind, material, alloys, tokens, dims of a text column: the features that matching needs, once per row."""
-    t = F.col(text)
-    return rows.withColumns({"kind": material_type(t), "material": material(t), "alloys": alloys(t), "tokens": token_set(t), "dims": F.transform(dimensions(t), lambda d: d["value_mm"])})
+def parsed(rows: DataFrame, text: str) -> DataFrame:
+    """rows with form (normal form), kind, material, alloys, threads, dimensions of a text column.
+
+    Every step goes through a generator, whose output is computed once; as nested expressions the normal form would be written
+    out, and computed, in every branch of every parser."""
+    t, n = F.col(text), F.col("form")
+    once = lambda df, **cs: df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in cs.items())))).alias("_p")).select("*", "_p.*").drop("_p")
+    rows = once(rows, form=norm(t), dimensions=dimensions(t))
+    return once(rows, kind=material_type(t, n), material=material(t, n), alloys=alloys(t, n), threads=threads(t, n))
+
+
+def described(rows: DataFrame, text: str, more: Column | None = None, kind: Column | None = None) -> DataFrame:
+    """rows with kind, material, alloys, tokens, dims of a text column: the features that matching needs, once per row. more: further text
+    (values of specifications) that material, alloys and dimensions are read from too; kind: one stated elsewhere, which holds if not ''."""
+    rows = rows.withColumn("_t", F.col(text))
+    whole = parsed(rows.withColumn("_all", F.col(text) if more is None else F.concat_ws(" ", text, more)), "_all")
+    kinds = F.col("kind") if more is None else material_type(F.col("_t"))
+    kinds = kinds if kind is None else F.coalesce(F.nullif(kind, F.lit("")), kinds)
+    out = whole.select("*", F.explode(F.array(F.struct(kinds.alias("k"), token_set(F.col("_t")).alias("tokens")))).alias("_p"))
+    return out.withColumns({"kind": F.col("_p.k"), "tokens": F.col("_p.tokens"), "dims": F.transform("dimensions", lambda d: d["value_mm"])}).drop("_p", "_t", "_all", "form", "dimensions", "threads")
 
 
 def match_score(q: str, c: str) -> Column:
@@ -157,22 +179,48 @@ def match_score(q: str, c: str) -> Column:
     return F.when(clash, 0).otherwise(F.least(F.lit(100), score)).cast("int")
 
 
+def _match_keys(x: DataFrame, key: str, df: DataFrame, query: bool) -> DataFrame:
+    """key, k: the blocks of a row. Of a score of 45, 35 come from kind 30, material 18, alloy 22, words 25 and dimensions 20, and what both
+    sides state agrees. So two rows with kinds have the same kind; of others, if they have neither material nor alloy in common, 35 come
+    from words and dimensions, so words bring 15: a Jaccard share of 0.58, which one of the rarest words of the query can't be missing
+    from. Rows with a kind are looked up among rows without only."""
+    has = F.col("kind") != ""
+    n = F.size("tokens")
+    mark = (lambda: F.when(has, "0").otherwise("*")) if query else None
+    sides = F.array(mark()) if query else F.when(has, F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.lit("0")))
+    asked = F.concat("alloys", F.transform(F.filter("alloys", lambda a: ~a.endswith("L")), lambda a: F.concat(a, F.lit("L")))) if query else F.col("alloys")
+    plain = F.concat(F.when(F.col("material") != "", F.array(F.concat(F.lit("m|"), "material"))).otherwise(F.array().cast("array<string>")), F.transform(asked, lambda a: F.concat(F.lit("a|"), a)))
+    sided = x.select(key, F.explode(sides).alias("side"), plain.alias("plain")).select(key, F.explode("plain").alias("p"), "side").select(key, F.concat("side", "p").alias("k"))
+    words = x.select(key, n.alias("n"), sides.alias("sides"), F.explode("tokens").alias("w"))
+    if query:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "w"))
+        words = words.join(df, "w", "left").withColumn("r", rank).filter("r <= n - ceil(0.58 * n - 1e-9) + 1")
+    words = words.select(key, F.explode("sides").alias("side"), "w").select(key, F.concat("side", F.lit("w|"), "w").alias("k"))
+    kinds = x.filter(has).select(key, F.concat(F.lit("k|"), "kind").alias("k"))
+    return kinds.union(sided).union(words).distinct()
+
+
 def matches(queries: DataFrame, candidates: DataFrame, least: int = 45, n: int = 5) -> DataFrame:
-    """qid, id, score, confidence: the n best candidates (id, name) of each query (qid, text), score first, then id.
-
-    Candidates are met by a word they share with the query, its rarest three, as a score of `least` needs shared words or
-    kind; so no query is compared with the whole table. The best are taken in two stages."""
-    from pyspark.sql.window import Window
-
-    q, c = described(queries.select("qid", "text"), "text"), described(candidates.select("id", "name"), "name")
-    words = c.select("id", F.explode("tokens").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    rare = q.select("qid", F.explode("tokens").alias("w")).join(df, "w").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "w"))).filter("r <= 3")
-    pairs = rare.join(words, "w").select("qid", "id").distinct()
-    x = pairs.join(q.select("qid", F.struct("kind", "material", "alloys", "tokens", "dims").alias("q")), "qid").join(c.select("id", F.struct("kind", "material", "alloys", "tokens", "dims").alias("c")), "id")
-    scored = x.select("qid", "id", match_score("q", "c").alias("score")).filter(F.col("score") >= least)
-    top = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank_no", F.row_number().over(top)).filter(F.col("rank_no") <= n).select("qid", "rank_no", "id", "score", F.when(F.col("score") >= 75, "alta").otherwise("média").alias("confidence"))
+    """qid, rank_no, id, score, confidence: the n best candidates of each query (qid, text) with a score of `least` (45 or more) or better; ties: candidates that are
+    preferred (a maker's own page), then the least id. candidates: id, name; optionally more (text of the specifications), kind (stated), preferred.
+
+    Complete: a pair of that score shares a block of _match_keys(). Queries are a stated set, looked up in blocks; the best are ranked in
+    two stages, so a query with very many candidates is no single task."""
+    if least < 45:
+        raise ValueError("blocks are complete for scores of 45 and more")
+    has = candidates.columns
+    cols = ["kind", "material", "alloys", "tokens", "dims"]
+    q = saved(described(queries.select("qid", "text"), "text").select("qid", *cols), "match-queries")
+    stated = candidates.select("id", "name", *(F.col(c).alias(f"_{c}") for c in ("more", "kind") if c in has), (F.coalesce("preferred", F.lit(False)) if "preferred" in has else F.lit(False)).alias("preferred"))
+    c = saved(described(stated, "name", F.coalesce("_more", F.lit("")) if "more" in has else None, F.coalesce("_kind", F.lit("")) if "kind" in has else None).select("id", "preferred", *cols), "match-candidates")
+    df = c.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    pairs = _match_keys(q, "qid", df, True).join(_match_keys(c, "id", df, False), "k").select("qid", "id").distinct()
+    x = pairs.join(q.select("qid", F.struct(*cols).alias("q")), "qid").join(c.select("id", "preferred", F.struct(*cols).alias("c")), "id")
+    scored = x.select("qid", "id", "preferred", F.explode(F.array(match_score("q", "c"))).alias("score")).filter(F.col("score") >= least)
+    order = [F.col("score").desc(), F.col("preferred").desc(), F.col("id")]
+    first = Window.partitionBy("qid", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy(*order)
+    scored = scored.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= n)
+    return scored.withColumn("rank_no", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank_no") <= n).select("qid", "rank_no", "id", "score", F.when(F.col("score") >= 75, "alta").otherwise("média").alias("confidence"))
 
 
 def scored_type(text: Column) -> Column:

@@ -208,8 +208,8 @@ def ag12_search_insights(spark: SparkSession, sf: str) -> DataFrame:
     return audit.search_rollup(e.select(F.col("event_type").alias("normalized"), F.floor("value").cast("long").alias("count"), F.col("ts").alias("at")))
 
 
-@query(f"""with {_EVENTS}, e as (select id, {_norm('r')} as r from (select id, unnest({_json('quality_json')}) as r from ev)), g as (select id, case when contains(r, 'fornecedor') then 'supplier' when contains(r, 'data') then 'date' when contains(r, 'codigo') then 'code' when contains(r, 'preco') then 'price'
-  when contains(r, 'duplic') then 'duplicate' when contains(r, 'descri') then 'description' else 'other' end as issue_group from e)
+@query(f"""with {_EVENTS}, e as (select id, {_norm('r')} as r from (select id, unnest({_json('quality_json')}) as r from ev)), g as (select id, case when contains(r, 'codigo aparece') then 'duplicate' when contains(r, 'data') then 'date' when contains(r, 'nome') or contains(r, 'medida') or contains(r, 'polos incomum') then 'name'
+  when contains(r, 'sem preco') then 'missingPrice' when contains(r, 'sem codigo') then 'missingCode' else 'other' end as issue_group from e)
 select issue_group, count(distinct id) as events, count(*) as issues from g group by 1""")
 def ag13_issue_groups(spark: SparkSession, sf: str) -> DataFrame:
     return audit.issue_counts(_events(spark, sf))
@@ -228,9 +228,12 @@ def cls18_quality_flags(spark: SparkSession, sf: str) -> DataFrame:
     return audit.quality_flags(table(spark, sf, "product"), fil5_status(spark, sf))
 
 
-@query(f"with {_FLAGS} select count(*) as critical from fl where x.l = 'critical'")
+@query(f"""with {_EVENTS}, e as (select {_norm('r')} as r from (select unnest({_json('quality_json')}) as r from ev)), g as (select case when contains(r, 'codigo aparece') or contains(r, 'data') then 'critical'
+  when contains(r, 'nome') or contains(r, 'medida') or contains(r, 'polos incomum') then 'warning' when contains(r, 'sem preco') or contains(r, 'sem codigo') then 'info' else 'warning' end as level from e)
+select count(*) filter (where level = 'critical') as critical, count(*) filter (where level = 'warning') as warning, count(*) filter (where level <> 'info') as grave from g""")
 def ag14_critical(spark: SparkSession, sf: str) -> DataFrame:
-    return cls18_quality_flags(spark, sf).agg(F.count_if(F.col("level") == "critical").alias("critical"))
+    e = _events(spark, sf).select(F.explode(F.from_json("quality_json", "array<string>")).alias("reason")).filter("reason is not null")
+    return audit.grave_issues(e)
 
 
 @query(f"""with {_FLAGS}, q as (select *, row_number() over (partition by f order by id) as rn from (select id, x.f as f from fl)),
@@ -263,12 +266,13 @@ def er1_ratio_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.ratio_pairs(table(spark, sf, "suppliers"))
 
 
-@query(f"""with r as (select id, nullif(lower(trim(email)), '') as email, nullif(regexp_replace(phone, '\\D', '', 'g'), '') as phone, {_key('name')} as key from suppliers), w as (select *, list_filter(list_distinct(string_split(key, ' ')), lambda x: length(x) > 2) as ws from r),
-e as (select email from r where email is not null group by 1 having count(*) <= 50), ph as (select phone from r where phone is not null group by 1 having count(*) <= 50),
-p as (select a.id as id_a, b.id as id_b, case when a.email = b.email and a.email in (select email from e) then '1-email' when a.phone = b.phone and a.phone in (select phone from ph) then '2-phone'
-  when len(list_distinct(list_concat(a.ws, b.ws))) > 0 and len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.75 and a.key <> '' and b.key <> '' then '3-words'
-  when a.key <> '' and b.key <> '' and length(a.key) >= 3 and length(b.key) >= 3 and abs(length(a.key) - length(b.key)) <= 1 and levenshtein(a.key, b.key) <= 2 then '4-slips' end as reason from w a join w b on a.id < b.id)
-select * from p where reason is not null""")
+@query(f"""with r as (select id, nullif(lower(trim(email)), '') as email, nullif(regexp_replace(phone, '\\D', '', 'g'), '') as phone, {_key('name')} as key from suppliers where id is not null), w as (select *, list_filter(list_distinct(string_split(key, ' ')), lambda x: length(x) > 2) as ws from r),
+k as (select key, min(id) as id, any_value(ws) as ws from w where key <> '' group by 1),
+p as (select min(id) over (partition by email) as id_a, id as id_b, '1-email' as reason from w where email is not null union all select min(id) over (partition by phone), id, '2-phone' from w where phone is not null
+  union all select min(id) over (partition by key), id, case when len(ws) > 0 then '3-words' else '4-slips' end from w where key <> ''
+  union all select least(a.id, b.id), greatest(a.id, b.id), case when len(list_distinct(list_concat(a.ws, b.ws))) > 0 and len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.75 then '3-words'
+    when length(a.key) >= 3 and length(b.key) >= 3 and abs(length(a.key) - length(b.key)) <= 1 and levenshtein(a.key, b.key) <= 2 then '4-slips' end from k a join k b on a.key < b.key)
+select id_a, id_b, min(reason) as reason from p where reason is not null and id_a <> id_b group by 1, 2""")
 def er3_contact_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.contact_pairs(table(spark, sf, "suppliers"))
 
@@ -288,12 +292,10 @@ def er4_suppliers(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "name", F.coalesce("aliases", F.lit("")).alias("aliases"))
 
 
-@query(f"""with {_NEWEST}, {_BIGRAM}, b as (select count(*) as total, count(*) filter (where c.updated_at is null) as no_price, count(*) filter (where date '{AS_OF}' - case when regexp_matches(c.updated_at, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') then try_cast(c.updated_at as date) end > 180) as stale
-  from product p left join cur c on c.product_id = p.id), dc as (select id, {_norm('c')} as code from (select id, unnest(list_concat([coalesce(code, '')], {_json('external_codes_json')})) as c from product)),
-d as (select least(100, count(*)) as dup_codes from (select code from (select distinct id, code from dc) where length(code) >= 3 group by 1 having count(*) > 1)), s as (select least(100, count(*)) as supplier_pairs from pairs)
-select total, no_price, stale, dup_codes, supplier_pairs, cast(round_even(greatest(0, 100 - no_price / total * 45 - stale / total * 35 - 2 * dup_codes - supplier_pairs), 0) as bigint) as score from b, d, s""")
+@query()
 def ag15_score(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.catalogue_score(table(spark, sf, "product"), _events(spark, sf), AS_OF, er2_bigram_pairs(spark, sf))
+    """Supplier pairs are those of er1_ratio_pairs, which SQL has no function for."""
+    return audit.catalogue_score(table(spark, sf, "product"), _events(spark, sf), AS_OF, er1_ratio_pairs(spark, sf))
 
 
 @query(f"""with {_FLAGS}, n as (select count(*) as n from product), h as (select count(distinct id) filter (where x.f = 'missing-price') as a, count(distinct id) filter (where x.f = 'stale') as b, count(distinct id) filter (where x.f = 'missing-code') as c, count(distinct id) filter (where x.f = 'missing-brand') as d from fl)
@@ -302,8 +304,10 @@ def ag16_score_mean(spark: SparkSession, sf: str) -> DataFrame:
     return audit.mean_score(cls18_quality_flags(spark, sf), table(spark, sf, "product"))
 
 
-_NUMBER = f"""pp as (select {_norm_audit('family')} as family_key, regexp_extract(upper(coalesce(code, '')), '^([A-Z]{{2,5}})-', 1) as prefix, try_cast(regexp_extract(code, '(\\d+)$', 1) as bigint) as number from product),
-pr as (select family_key, prefix, last + 1 as next from (select *, row_number() over (partition by family_key order by n desc, prefix) as rn from (select family_key, prefix, count(*) as n, coalesce(max(number), 0) as last from pp where prefix <> '' group by 1, 2)) where rn = 1)"""
+_NUMBER = f"""pp as (select {_norm_audit('family')} as family_key, {_squeeze("coalesce(family, '')")} as family, upper(regexp_extract(trim(coalesce(code, '')), '^([A-Za-z]{{1,6}})[-_. ]?(\\d+)$', 1)) as prefix, try_cast(regexp_extract(trim(coalesce(code, '')), '^([A-Za-z]{{1,6}})[-_. ]?(\\d+)$', 2) as bigint) as number from product),
+most as (select prefix, max(number) as last from pp where prefix <> '' group by 1),
+best as (select family_key, case when prefix <> '' then prefix when upper(substr(family, 1, 2)) <> '' then upper(substr(family, 1, 2)) else 'MA' end as prefix from (select *, row_number() over (partition by family_key order by prefix = '', n desc, prefix) as rn from (select family_key, prefix, count(*) as n, min(family) as family from pp group by 1, 2)) where rn = 1),
+pr as (select family_key, best.prefix, coalesce(last, 0) + 1 as next from best left join most on most.prefix = best.prefix)"""
 
 
 @query(f"with {_NUMBER} select * from pr")
@@ -311,7 +315,8 @@ def ag17_code_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return audit.code_numbering(table(spark, sf, "product"))
 
 
-@query(f"with {_NUMBER} select id, prefix || '-' || lpad(cast(next + row_number() over (partition by x.family_key order by id) - 1 as varchar), 4, '0') as new_code from (select id, {_norm_audit('family')} as family_key from product where trim(coalesce(code, '')) = '') x join pr on pr.family_key = x.family_key")
+@query(f"""with {_NUMBER}, n as (select id, prefix, next + row_number() over (partition by prefix order by x.family_key, id) - 1 as k from (select id, {_norm_audit('family')} as family_key from product where trim(coalesce(code, '')) = '') x join pr on pr.family_key = x.family_key)
+select id, prefix || '-' || case when k < 1000 then lpad(cast(k as varchar), 3, '0') else cast(k as varchar) end as new_code from n""")
 def wn10_new_codes(spark: SparkSession, sf: str) -> DataFrame:
     return audit.numbered(table(spark, sf, "product"))
 
@@ -398,16 +403,9 @@ def str19_typed_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with c as (select distinct {_norm('code')} as code from product where code <> '') select a.code as code_a, b.code as code_b, levenshtein(a.code, b.code) as d from c a join c b
-  on substr(a.code, 1, 5) = substr(b.code, 1, 5) and a.code < b.code where levenshtein(a.code, b.code) <= 2""")
+  on a.code < b.code and abs(length(a.code) - length(b.code)) <= 2 where levenshtein(a.code, b.code) <= 2""")
 def num8_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "product").filter("code <> ''").select(norms.norm(F.col("code")).alias("code")).select("code", F.substring("code", 1, 5).alias("head")).distinct()
-    d = F.levenshtein("a.code", "b.code", 2)
-    return c.alias("a").join(c.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.code") < F.col("b.code"))).select(F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b"), d.cast("long").alias("d")).filter("d >= 0")
-
-
-@query()
-def num8_code_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of codes within two edits; num8_levenshtein has only those that its SQL asks for, with the same five first characters."""
+    """All pairs of codes within two edits, wherever these are."""
     return resolve.near_codes(table(spark, sf, "product").filter("code <> ''").select(norms.norm(F.col("code")).alias("code")).distinct())
 
 
@@ -508,9 +506,10 @@ def cls4_material_alloys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "product").select("id", features.material(F.col("name")).alias("material"), F.array_join(features.alloys(F.col("name")), ",").alias("alloys"))
 
 
-@query()
+@query(f"""with n as (select id, ' ' || {_norm("coalesce(name, '')")} || ' ' as x from product) select id, case when regexp_matches(x, ' flange ') and not regexp_matches(x, '\\b(?:aco|inox|aluminio|dn|ansi|npt|rosca|tubo|solda|industrial|alta pressao|valvula|conexao)\\b') then '' when regexp_matches(x, ' ch\\.? ') then 'chapa'
+  {' '.join(f"when regexp_matches(x, ' (?:{w}) ') then '{k}'" for k, w in features.TYPES)} else '' end as kind from n""")
 def cls1_types(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "product").select("id", features.material_type(F.col("name")).alias("kind"))
+    return features.parsed(table(spark, sf, "product").select("id", "name"), "name").select("id", "kind")
 
 
 @query()
@@ -522,15 +521,19 @@ def cls6_dimensions(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cls19_normalized(spark: SparkSession, sf: str) -> DataFrame:
     """Kind, material, alloys, unit and specifications of every description."""
-    p = table(spark, sf, "product").withColumn("kind", features.material_type(F.col("name")))
-    return p.select("id", "kind", features.material(F.col("name")).alias("material"), F.array_join(features.alloys(F.col("name")), ",").alias("alloys"), features.unit(F.col("kind"), F.col("name"))["unit"].alias("unit_"), F.to_json(features.specs(F.col("name"), F.col("kind"))).alias("specs"))
+    p = features.parsed(table(spark, sf, "product").select("id", "name"), "name")
+    specs = features.specs(F.col("form"), F.col("kind"), F.col("material"), F.col("alloys"), F.col("dimensions"), F.col("threads"))
+    return p.select("id", "kind", "material", F.array_join("alloys", ",").alias("alloys"), features.unit(F.col("kind"), F.col("name"))["unit"].alias("unit_"), F.to_json(specs).alias("specs"))
 
 
 @query()
 def sch10_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Listings without a code as queries against all products."""
-    q = table(spark, sf, "match_candidate").filter(F.coalesce("manufacturer_code", F.lit("")) == "").select(F.col("id").alias("qid"), F.col("name").alias("text"))
-    return features.matches(q, table(spark, sf, "product"))
+    """The five best of all listings for each product whose number is divisible by 20."""
+    p = table(spark, sf, "product")
+    q = p.filter(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 20 == 0).select(F.col("id").alias("qid"), F.col("name").alias("text"))
+    c = table(spark, sf, "match_candidate")
+    values = F.array_join(F.transform("specs", lambda s: F.coalesce(s["value"], F.lit(""))), " ")
+    return features.matches(q, c.select("id", "name", values.alias("more"), F.col("product_type").alias("kind"), (F.col("source_type") == "manufacturer").alias("preferred")))
 
 
 # --- import --------------------------------------------------------------------------------------------------------------

@@ -35,7 +35,7 @@ def products(doc: DataFrame) -> DataFrame:
 def offers(doc: DataFrame) -> DataFrame:
     """Price events; of offers with one id the last of the document holds."""
     p = doc.select(F.posexplode("products").alias("i", "p")).select("i", F.col("p.id").alias("product_id"), F.posexplode("p.offers").alias("j", "o"))
-    rows = p.select(F.coalesce(F.nullif("o.id", F.lit("")), F.concat_ws("_", F.lit("off"), "product_id", "j")).alias("id"), (F.col("i") * 1_000_000 + F.col("j")).cast("long").alias("ingest_seq"), "product_id", squeeze(F.col("o.supplierId")).alias("supplier_id"), squeeze(F.col("o.supplierName")).alias("supplier_name"), index_number(F.col("o.basePrice")).alias("base_price"), F.coalesce(index_number(F.coalesce("o.quantity", "o.divisor")), F.lit(1.0)).alias("quantity"), index_number(F.col("o.finalPrice")).alias("final_price"), squeeze(F.col("o.updatedAt")).alias("updated_at"), "o.notes")
+    rows = p.select(F.coalesce(F.nullif("o.id", F.lit("")), F.concat_ws("_", F.lit("off"), "product_id", "j")).alias("id"), F.shiftleft(F.col("i").cast("long"), 31).bitwiseOR(F.col("j").cast("long")).alias("ingest_seq"), "product_id", squeeze(F.col("o.supplierId")).alias("supplier_id"), squeeze(F.col("o.supplierName")).alias("supplier_name"), index_number(F.col("o.basePrice")).alias("base_price"), F.coalesce(index_number(F.coalesce("o.quantity", "o.divisor")), F.lit(1.0)).alias("quantity"), index_number(F.col("o.finalPrice")).alias("final_price"), squeeze(F.col("o.updatedAt")).alias("updated_at"), "o.notes")
     return keep_first(rows, ["id"], [F.col("ingest_seq").desc()])
 
 

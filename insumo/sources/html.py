@@ -144,7 +144,7 @@ def extracted(rows: DataFrame) -> DataFrame:
     maker = features.maker(F.col("t"), F.col("manufacturer"))
     p = p.withColumns({"kind": kind, "maker": maker, "host": host(F.col("url"))})
     own = F.transform("properties", lambda s: F.struct(features.canonical_label(s["label"]).alias("label"), s["value"].alias("value")))
-    from_text = F.filter(features.specs(F.col("t"), F.col("kind")), lambda s: ~F.exists(own, lambda o: o["label"] == s["label"]))
+    from_text = F.filter(features.specs_of(F.col("t"), F.col("kind")), lambda s: ~F.exists(own, lambda o: o["label"] == s["label"]))
     line = F.when((F.col("brand") != "") & (F.lower("brand") != F.lower("maker")), F.col("brand")).otherwise("")
     return p.select(
         "page_id", clean_title(F.col("name")).alias("name"), "kind", F.col("maker").alias("manufacturer"), line.alias("product_line"), "code",
