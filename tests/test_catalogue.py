@@ -181,3 +181,58 @@ def test_search(spark):
     assert rows(search.staged(p, "c-1"), "id", "stage") == [("1", 1)] and rows(search.simple_rank(p, "cha"), "id") == [("1",)]
     w = spark.createDataFrame([("https://aco.example/a", "Chapa inox", "x"), ("https://github.com/a", "Chapa inox", "x"), ("https://b.example", "", "x")], "url string, title string, snippet string")
     assert [r.url for r in search.web_rank(w, "chapa inox").collect()] == ["https://aco.example/a"]
+
+
+def test_merge_targets_of_many_equal_names(spark):
+    s = spark.createDataFrame([(f"{i:04}", "Metal Sul") for i in range(3000)] + [("a1", "Metal Sul Central"), ("a0", "Outra Casa")], "id string, name string")
+    got = {r.old: r.new for r in resolve.bigram_targets(s).collect()}
+    assert got == {**{f"{i:04}": "0000" for i in range(1, 3000)}, "a1": "0000"}
+
+
+def test_bigram_pairs_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(6)
+    names = sorted({f"{r.choice(['abrasivos ', 'abrasivos x', ''])}{''.join(r.choice('ab') + r.choice('oi') for _ in range(r.randint(2, 6)))}" for _ in range(150)} | {"abrasivos"})
+    grams = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+    share = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    solid = {n: n.replace(" ", "") for n in names}
+    for least in (0.6, 0.86):
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if share(solid[a], solid[b]) >= least or b.startswith(a) and len(a) >= 7}
+        got = resolve.bigram_pairs(spark.createDataFrame([(n, n) for n in names if len(n) >= 4], "id string, name string"), least)
+        assert {(x.id_a, x.id_b) for x in got.collect()} == want and want
+
+
+def test_common_first_words_are_no_candidates(spark):
+    import itertools
+
+    names = ["abrasivos " + "".join(x) for x in itertools.product(["ba", "ce", "di", "fo", "gu", "mar"], ["lu", "mi", "nor", "pe"], ["ra", "sol", "te", "vi"])]
+    keys = spark.createDataFrame([(n,) for n in names], "key string").selectExpr("key", "length(key) n")
+    assert resolve.begun_pairs(keys.select("key"), 7).count() == 0
+    sets = resolve.gram_sets(resolve.ordered_grams(keys), F.col("n") - 8, 2).groupBy("x").count().selectExpr("sum(count * (count - 1) / 2) p").first().p
+    assert sets < 3 * len(names) * (len(names) - 1) / 2
+
+
+def test_contact_slips_lose_nothing(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(8)
+    base = ["".join(r.choice("abc") for _ in range(r.randint(7, 14))) for _ in range(40)] + ["aaaaaaaaaaaa", "abababababab"]
+    slip = lambda x: (lambda i: x[:i] + r.choice(["", "z", x[i] + "q"]) + x[i + 1 :])(r.randrange(len(x)))
+    names = sorted({*base, *(slip(x) for x in base), *(slip(slip(x)) for x in base)})
+    got = resolve.contact_pairs(spark.createDataFrame([(n, n, None, None) for n in names], "id string, name string, email string, phone string"))
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if abs(len(a) - len(b)) <= 1 and edits(a, b) <= 2}
+    assert {(x.id_a, x.id_b) for x in got.collect()} == want and want
+
+
+def test_forms_of_codes_are_not_broadcast(spark):
+    codes = spark.createDataFrame([(f"cb-{i:05}-03",) for i in range(50)], "code string")
+    assert "BroadcastHashJoin" not in resolve.near_codes(codes)._jdf.queryExecution().executedPlan().toString()
