@@ -12,13 +12,14 @@ from pyspark.sql.types import StringType
 from insumo.functions.text import HYPHENS, LOOKALIKES, SPACES, ZERO_WIDTH
 from insumo.sources.shared import saved
 
-_FOREIGN = r"[Ͱ-ϿЀ-ԯ]"
-_WORDS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+_WORDS = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+"
 # Joined letters and their parts.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǅ": "Dž", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "㎜": "mm", "㎝": "cm", "㎏": "kg"}
 #: A small mu is a sign of the trade (micro), not a u.
 _TO_LATIN = {k: v for k, v in LOOKALIKES.items() if k != "μ"}
 _TO_CYRILLIC = {v: k for k, v in reversed([(k, v) for k, v in LOOKALIKES.items() if "CYRILLIC" in unicodedata.name(k)])}
+#: Letters of other scripts, and those of Latin script that look like another one.
+_FOREIGN = f"[Ͱ-ϿЀ-ԯ{''.join(_TO_LATIN)}]"
 _TO_GREEK = {v: k for k, v in reversed([(k, v) for k, v in LOOKALIKES.items() if "GREEK" in unicodedata.name(k)])}
 
 
@@ -46,35 +47,43 @@ def settle(c: Column) -> Column:
     return F.trim(_compose(out))
 
 
-def _scripts(c: Column) -> tuple[Column, Column, Column]:
-    """Latin, Cyrillic and Greek letters in a text."""
-    count = lambda p: F.length(F.regexp_replace(c, f"[^{p}]", ""))
-    return count(r"\p{IsLatin}"), count(r"\p{IsCyrillic}"), count(r"\p{IsGreek}")
+@F.pandas_udf(StringType())
+def _looks(words: pd.Series) -> pd.Series:
+    """One form for all words that look the same: every letter by its Latin look-alike, under its accents; where letters without one
+    leave several scripts, the look-alikes of Cyrillic, else of Greek, if these give one script."""
+
+    # everything stands in here, as workers may not have this module
+    def one_script(word: str) -> bool:
+        return len({unicodedata.name(c, "?").split()[0] for c in word if c.isalpha()}) <= 1
+
+    def form(word: str) -> str:
+        bare = "".join(_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", word))
+        for table in ({}, _TO_CYRILLIC, _TO_GREEK):
+            x = unicodedata.normalize("NFC", "".join(table.get(c, c) for c in bare))
+            if one_script(x):
+                return x
+        return unicodedata.normalize("NFC", bare)
+
+    return pd.Series([form(x) for x in words], dtype="object")
 
 
 def canonical(values: DataFrame) -> DataFrame:
     """values (field, key, raw) with `canon`, one form in which values that look the same are equal.
 
-    After settle(), the dominant script of each word is determined. Letters of other scripts are replaced by their
-    look-alikes in it if the word is then of one script and exists in the corpus' vocabulary: the words of values in Latin
-    script alone, or what at least two different words would become. If it doesn't, the next script is tried, so a word made
-    of look-alikes alone becomes the word that it looks like. Words without such a result stay. Words are matched by joins;
+    After settle(), words with letters of other scripts (or look-alikes within the Latin one) are brought to the form that all words
+    looking like them share: of one script where there is one, Latin first. A word takes this form if the corpus attests it: some
+    other word of any value, in any script, looks the same. Words that nothing else looks like stay. Words are matched by joins;
     only values with foreign letters are taken apart. Null values are left out; empty ones stay empty. Repeated rows give repeated rows."""
     settled = saved(values.filter("raw is not null").select("field", "key", "raw", settle(F.col("raw")).alias("text")), "settled")
     mixed = settled.filter(F.col("text").rlike(_FOREIGN))
     plain = settled.filter(~F.col("text").rlike(_FOREIGN))
     words = mixed.select("field", "key", "raw", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_WORDS})"), 1)).alias("pos", "word"))
-    foreign = F.col("word").rlike(_FOREIGN)
-    latin, cyrillic, greek = _scripts(F.col("word"))
-    # into the dominant script first; a word without letters of its own in any script is Latin first
-    targets = F.array(*(F.struct((-n).alias("rank"), F.lit(i).alias("i"), _translate(F.col("word"), t).alias("repair")) for i, (n, t) in enumerate(((latin, _TO_LATIN), (cyrillic, _TO_CYRILLIC), (greek, _TO_GREEK)))))
-    one_script = lambda c: F.size(F.filter(F.array(*(n > 0 for n in _scripts(c))), lambda x: x)) <= 1
-    targets = F.filter(F.array_sort(targets), lambda t: one_script(t["repair"]) & (t["repair"] != F.col("word")))
-    options = words.filter(foreign).select("word", F.posexplode(targets).alias("rank", "t")).select("word", "rank", "t.repair").distinct()
-    wanted = options.groupBy("repair").agg(F.countDistinct("word").alias("sources"))
-    known = plain.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("repair")).distinct().withColumn("known", F.lit(True))
-    attested = wanted.join(known, "repair", "left").filter("known or sources > 1").select("repair")
-    chosen = options.join(attested, "repair").groupBy("word").agg(F.min(F.struct("rank", "repair")).alias("best")).select("word", "best.repair")
+    of_mixed = words.filter(F.col("word").rlike(r"[\p{L}\p{N}]")).select("word").distinct().withColumn("form", _looks(F.col("word")))
+    # words of plain values are their own form
+    of_plain = plain.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}\p{M}]+)"), 1)).alias("word")).distinct().select("word", F.col("word").alias("form"))
+    wanted = of_mixed.filter(F.col("word").rlike(_FOREIGN))
+    attested = of_mixed.union(of_plain).distinct().join(wanted.select("form").distinct(), "form", "left_semi").groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form")
+    chosen = wanted.join(attested, "form").select("word", F.col("form").alias("repair"))
     repaired = words.join(chosen, "word", "left").withColumn("word", F.coalesce("repair", "word"))
     joined = repaired.groupBy("field", "key", "raw").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("ws"))
     canon = joined.select("field", "key", "raw", F.array_join(F.transform("ws", lambda w: w["word"]), "").alias("canon"))

@@ -38,3 +38,12 @@ def test_repeated_rows_count_once(spark):
 def test_many_equal_rows_make_no_pairs(spark):
     df = spark.range(3000).selectExpr("'f' field", "cast(id as string) key", "if(id = 7, 'a b', 'a b') raw")
     assert lookalike_pairs(df).count() == 2999
+
+
+def test_every_word_of_the_corpus_attests(spark):
+    same = lambda *raws: len(set(canon(spark, *raws).values())) == 1
+    assert same("Привет", "Пpивет")  # a Cyrillic word without Latin form, and one with a Latin p
+    assert same("Cabo Привет", "Сabo Привет")  # the Latin word stands in a value of two scripts only
+    assert same("café", "cafе\u0301") and same("código", "cόdigo")  # accents over a look-alike
+    assert same("fita", "fıta") and not same("fita", "fitа1")
+    assert canon(spark, "fıta")["k0"] == "fıta"  # nothing looks like it
