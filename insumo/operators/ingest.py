@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from insumo.functions.norms import compact, norm, norm_audit, squeeze
 from insumo.functions.numbers import last_amount, loose_number, percent, sheet_date, within
 from insumo.operators.history import import_price
+from insumo.sources.shared import saved
 
 # How a heading (normal form) names each role, in the order in which a cell is tried.
 HEADINGS = [
@@ -92,8 +93,9 @@ def table_rows(sheet: DataFrame, columns: DataFrame) -> DataFrame:
 def carried_names(rows: DataFrame) -> DataFrame:
     """rows with `context`: their name if it has a noun of the trade, else the last such of the rows just above."""
     named = F.when(norm(F.col("name")).rlike(NOUN), squeeze(F.col("name")))
+    # a sheet may be very long, so its normal forms are computed before its rows come together, each once
     w = Window.partitionBy("sheet").orderBy("row_idx").rowsBetween(-CARRY_ROWS, 0)
-    return rows.withColumn("context", F.last(named, ignorenulls=True).over(w))
+    return rows.withColumn("_named", named).withColumn("context", F.last("_named", ignorenulls=True).over(w)).drop("_named")
 
 
 def preview(rows: DataFrame, products: DataFrame, events: DataFrame) -> DataFrame:
@@ -113,9 +115,14 @@ def preview(rows: DataFrame, products: DataFrame, events: DataFrame) -> DataFram
     by = lambda *keys: p.filter(" and ".join(f"{k} <> ''" for k in keys)).groupBy(*keys).agg(F.min("id").alias(f"by_{len(keys)}_{keys[0]}"), F.count("*").alias(f"n_{len(keys)}_{keys[0]}"))
     r = r.join(by("code_key"), "code_key", "left").join(by("code_key", "name_key"), ["code_key", "name_key"], "left").join(by("name_key"), "name_key", "left")
     pid = F.when(F.col("n_1_code_key") == 1, F.col("by_1_code_key")).when(F.col("n_2_code_key") == 1, F.col("by_2_code_key")).when(F.col("n_1_code_key").isNull() & (F.col("n_1_name_key") == 1), F.col("by_1_name_key"))
-    r = r.withColumn("product_id", pid).withColumn("ambiguous", (F.col("n_1_code_key") > 1) & pid.isNull())
-    e = events.select("product_id", F.col("final_price").alias("old_price"), F.col("updated_at").alias("old_day"))
-    same = r.filter("product_id is not null").join(e, "product_id").filter((F.abs(F.col("price") - F.col("old_price")) < 0.005) & (F.col("day").isNull() | (F.date_format("day", "yyyy-MM-dd") == F.col("old_day")))).select("sheet", "row_idx").distinct().withColumn("same", F.lit(True))
+    r = saved(r.withColumn("product_id", pid).withColumn("ambiguous", (F.col("n_1_code_key") > 1) & pid.isNull()), "import-rows")
+    # prices within half a cent lie in one step of half a cent or in the next, so a product of many rows and offers meets by its prices alone
+    step = lambda c: F.floor(F.col(c) / 0.005)
+    e = events.select("product_id", F.col("final_price").alias("old_price"), F.col("updated_at").alias("old_day")).filter("old_price is not null")
+    x = r.filter("product_id is not null").select("sheet", "row_idx", "product_id", "price", F.date_format("day", "yyyy-MM-dd").alias("old_day")).distinct()
+    x = x.select("*", F.explode(F.array(*(step("price") + k for k in (-1, 0, 1)))).alias("step"))
+    hit = lambda days, keys: x.filter(f"old_day is {'not ' if days else ''}null").drop(*(() if days else ("old_day",))).join(e.select("product_id", "old_price", *(("old_day",) if days else ())).distinct().withColumn("step", step("old_price")).hint("merge"), keys).filter(F.abs(F.col("price") - F.col("old_price")) < 0.005).select("sheet", "row_idx")
+    same = hit(True, ["product_id", "old_day", "step"]).union(hit(False, ["product_id", "step"])).distinct().withColumn("same", F.lit(True))
     r = r.join(same, ["sheet", "row_idx"], "left")
     ok = (F.col("price") > 0) & ((F.coalesce(F.trim("date"), F.lit("")) == "") | F.col("day").isNotNull())
     sig = F.coalesce("product_id", F.when(F.col("code_key") != "", F.concat(F.lit("c:"), "code_key")), F.concat(F.lit("n:"), "name_key"))

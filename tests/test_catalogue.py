@@ -236,3 +236,14 @@ def test_contact_slips_lose_nothing(spark):
 def test_forms_of_codes_are_not_broadcast(spark):
     codes = spark.createDataFrame([(f"cb-{i:05}-03",) for i in range(50)], "code string")
     assert "BroadcastHashJoin" not in resolve.near_codes(codes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_import_of_a_hot_product(spark):
+    n = 1500
+    r = spark.range(n).selectExpr("'s' sheet", "cast(id as int) row_idx", "'C1' code", "'Parafuso M8' name", "cast(null as string) base_price", "cast(1000 + id as string) final_price", "'' supplier", "if(id % 2 = 0, '', '20/06/2026') date", "'' ipi", "'' adjustment", "'' quantity")
+    events = spark.range(n).selectExpr("'p' product_id", "1000.0 + id + if(id % 3 = 0, 0.0049, if(id % 3 = 1, -0.0049, 0.006)) final_price", "'2026-06-20' updated_at")
+    products = spark.createDataFrame([("p", "C1", "Parafuso M8")], "id string, code string, name string")
+    got = ingest.preview(r, products, events)
+    assert {(x.outcome, x.n) for x in ingest.import_stats(got).collect()} == {("unchanged", 1000), ("update", 500)}
+    # rows and offers of one product don't all meet
+    assert "step#" in got._jdf.queryExecution().optimizedPlan().toString()
