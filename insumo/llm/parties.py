@@ -94,9 +94,48 @@ def _norm2(v: Column) -> Column:
 
 
 def _postings(vectors: DataFrame, least: float) -> DataFrame:
-    """A row for each n-gram of a vector's prefix: what is left behind the prefix has less than `least` times the norm."""
+    """A row for each n-gram of a vector's prefix: what is left behind the prefix has less than `least` times the norm. left: the squared
+    weight from this n-gram on."""
     prefix = F.aggregate("v", F.struct(F.col("n2").alias("left"), F.lit(0).alias("n")), lambda s, x: F.when(s["left"] < least * least * F.col("n2"), s).otherwise(F.struct((s["left"] - x.bitwiseAND(F.lit(65535))).alias("left"), (s["n"] + 1).alias("n"))), lambda s: s["n"])
-    return vectors.select("core", "v", "n2", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(1), prefix))).alias("g"))
+    each = vectors.select("core", "v", "n2", F.posexplode(F.slice("v", F.lit(1), F.greatest(F.lit(1), prefix))).alias("at", "g"))
+    return each.select("core", "v", "n2", "g", (F.col("n2") - _norm2(F.slice("v", F.lit(1), F.col("at")))).alias("left"))
+
+
+def _shortened(text: Column) -> Column:
+    """Hashes of what two texts at most two edits apart (one under ten letters, none under seven) have in common: the text without up to
+    so many letters, as each edit drops one of either text. Of long texts two edits leave one of three pieces whole, at most two
+    places off, so these are all pieces that a partner of any such length may have; between 31 and 32 letters are both."""
+    n = F.length(text)
+    without = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substr(x, i + 1))
+    own = F.array(text)
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: without(text, i))
+    two = F.flatten(F.transform(one, lambda x, i: F.transform(F.sequence(i + 1, n - 1), lambda j: without(x, j))))
+    third = lambda d: F.floor((n + d) / 3).cast("int")
+    pieces = F.array(*(F.substring(text, third(d) * i + 1 + by, third(d)) for d in range(-2, 3) for i in range(3) for by in range(-2, 3)))
+    forms = F.when(n < 7, own).when(n < 10, F.concat(own, one)).when(n <= 30, F.concat(own, one, two)).when(n <= 32, F.concat(own, one, two, pieces)).otherwise(pieces)
+    return F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x)))
+
+
+def _slips(names: DataFrame) -> DataFrame:
+    """a, b, cosine of spellings that share an n-gram of four letters or a word and are two slips apart without their blanks, in either
+    order of the words: one under ten letters, none under seven.
+
+    They are met by what slips leave of them, which hardly any other spelling has; a common n-gram of four letters brings none together."""
+    both = names.select("core", F.xxhash64("core").bitwiseAND(F.lit(-2)).alias("h"), F.replace("core", F.lit(" "), F.lit("")).alias("s"), F.array_join(F.reverse(F.split("core", " ")), "").alias("r"))
+    # the lowest bit of code: the words in reverse
+    sides = both.select(F.explode(F.when(F.col("s") == F.col("r"), F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")))).otherwise(F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")), F.struct(F.col("r").alias("t"), (F.col("h") + 1).alias("code"))))).alias("e"))
+    forms = sides.select(F.col("e.code").alias("code"), F.explode(_shortened(F.col("e.t"))).alias("form"))
+    reverse = F.col("x.code").bitwiseAND(F.col("y.code")).bitwiseAND(F.lit(1)) == 1
+    bare = lambda c: F.col(c).bitwiseAND(F.lit(-2))
+    met = forms.alias("x").join(forms.alias("y").hint("merge"), (F.col("x.form") == F.col("y.form")) & (F.col("x.code") < F.col("y.code")) & (bare("x.code") != bare("y.code")) & ~reverse).select(bare("x.code").alias("hx"), bare("y.code").alias("hy")).distinct()
+    side = lambda c: both.select(F.col("h").alias(f"h{c}"), F.struct("core", "s", "r").alias(c))
+    pairs = met.join(side("x"), "hx").join(side("y"), "hy")
+    # the function gives -1 beyond its threshold
+    orders = F.filter(F.array(*(F.levenshtein(x, y, 2) for x, y in (("x.s", "y.s"), ("x.s", "y.r"), ("x.r", "y.s")))), lambda e: e >= 0)
+    shorter = F.least(F.length("x.s"), F.length("y.s"))
+    near = pairs.withColumn("edits", F.array_min(orders)).filter(F.col("edits") <= F.when(shorter >= 10, 2).when(shorter >= 7, 1).otherwise(0))
+    near = near.filter(F.arrays_overlap(_grams(F.col("x.core"), (4, 5)), _grams(F.col("y.core"), (4, 5))))
+    return near.select(F.least("x.core", "y.core").alias("a"), F.greatest("x.core", "y.core").alias("b"), (1 - F.col("edits") / F.greatest(F.length("x.s"), F.length("y.s"))).alias("cosine"))
 
 
 def links(names: DataFrame, least: float = LINKED) -> DataFrame:
@@ -106,24 +145,18 @@ def links(names: DataFrame, least: float = LINKED) -> DataFrame:
     Weights are the inverse document frequency over all spellings. Only the rarest n-grams of each vector are joined on, as
     many as no pair of that cosine can do without (the rest of the vector is shorter than the threshold), so the join is
     complete and common n-grams are never expanded; the cosine itself is taken over whole vectors. All partners are kept.
+    Two spellings have no more in common than either has from their first shared n-gram on, which is checked before.
     Spellings one or two slips apart are linked by an exact check of those that share an n-gram of four letters or more."""
     vectors = saved(_vectors(names), "vectors")
     x, y = _postings(vectors, least).alias("x"), _postings(vectors, least).alias("y")
-    cosine = _norm2(F.array_intersect("x.v", "y.v")) / F.sqrt(F.col("x.n2").cast("double") * F.col("y.n2"))
-    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.core") < F.col("y.core"))).select(F.col("x.core").alias("a"), F.col("y.core").alias("b"), cosine.alias("cosine")).filter(F.col("cosine") >= least)
+    norms = F.sqrt(F.col("x.n2").cast("double") * F.col("y.n2"))
+    cosine = _norm2(F.array_intersect("x.v", "y.v")) / norms
+    ahead = F.least("x.left", "y.left") >= least * norms * (1 - 1e-9)
+    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.core") < F.col("y.core")) & ahead).select(F.col("x.core").alias("a"), F.col("y.core").alias("b"), cosine.alias("cosine")).filter(F.col("cosine") >= least)
     forms = names.select(F.col("core").alias("of"), F.explode(_forms(F.col("core"))).alias("core")).filter("core <> of")
     short = forms.join(names, "core").select(F.least("core", "of").alias("a"), F.greatest("core", "of").alias("b"), F.lit(1.0).alias("cosine"))
-    near = near.union(short)
-    # slips cut the cosine of short words most: pairs that share a longer n-gram or a word, a few letters apart, are linked too
-    own = saved(names.select("core", F.replace("core", F.lit(" "), F.lit("")).alias("s"), F.array_join(F.reverse(F.split("core", " ")), "").alias("r"), F.explode(_grams(F.col("core"), (4, 5))).alias("g")), "postings")
-    # the function gives -1 beyond its threshold
-    orders = F.filter(F.array(*(F.levenshtein(x, y, 2) for x, y in (("x.s", "y.s"), ("x.s", "y.r"), ("x.r", "y.s")))), lambda e: e >= 0)
-    edits = F.array_min(orders)
-    shorter = F.least(F.length("x.s"), F.length("y.s"))
-    slips = own.alias("x").join(own.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.core") < F.col("y.core"))).filter(F.abs(F.length("x.s") - F.length("y.s")) <= 2)
-    slips = slips.withColumn("edits", edits).filter((F.col("edits") <= F.when(shorter >= 10, 2).when(shorter >= 7, 1).otherwise(0)))
-    slips = slips.select(F.col("x.core").alias("a"), F.col("y.core").alias("b"), (1 - F.col("edits") / F.greatest(F.length("x.s"), F.length("y.s"))).alias("cosine"))
-    return near.union(slips).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    # slips cut the cosine of short words most: spellings a few letters apart are linked too
+    return near.union(short).union(_slips(names)).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def _joined(least: float, unlinked: float):

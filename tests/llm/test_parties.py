@@ -86,3 +86,42 @@ def test_given_names_and_lines_of_business_keep_apart(spark):
     offers = spark.createDataFrame([("o1", "Maria Fipunol")], "id string, name string")
     got = sorted((r.key_a, r.key_b) for r in parties.same_party_pairs(suppliers, offers).collect())
     assert got == [("o1", "s1"), ("s2", "s3"), ("s4", "s6")]
+
+
+def test_slips_are_met_by_what_they_leave(spark):
+    import itertools
+    import random
+
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("bcdfg" if i % 2 else "aeo") for i in range(n))
+    names = {" ".join(sorted(word(r.choice((3, 4, 5, n))) for _ in range(2))) for n in (6, 8, 25, 27, 28, 29) for _ in range(12)}
+    for n in sorted(names):
+        for _ in range(3):
+            x = list(n)
+            for _ in range(r.choice((1, 2))):
+                i = r.randrange(len(x))
+                x[i : i + 1] = r.choice(([], ["a"], [x[i], "o"]))
+            names.add(" ".join(sorted("".join(x).split())))
+    names = sorted(n for n in names if n)
+    form = lambda n: (n.replace(" ", ""), "".join(reversed(n.split())), {g for w in n.split() for g in ["=" + w, *(w[i : i + k] for k in (4, 5) for i in range(len(w) - k + 1))]})
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    want = set()
+    for a, b in itertools.combinations(names, 2):
+        (s, q, g), (t, u, h) = form(a), form(b)
+        n = min(len(s), len(t))
+        if abs(len(s) - len(t)) <= 2 and g & h and min(edits(s, t), edits(s, u), edits(q, t)) <= (2 if n >= 10 else 1 if n >= 7 else 0):
+            want.add((a, b))
+    got = {(x.a, x.b) for x in parties._slips(spark.createDataFrame([(n,) for n in names], "core string")).collect()}
+    assert got == want and len(want) > 50 and any(len(a) > 32 for a, _ in want)
+    # a word in common brings no two spellings together
+    hot = spark.createDataFrame([(f"distribuidora {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}",) for i in range(600)], "core string")
+    forms = hot.select("core", F.explode(parties._shortened(F.replace("core", F.lit(" "), F.lit("")))).alias("f"))
+    assert forms.groupBy("f").count().filter("count > 1").count() == 0
