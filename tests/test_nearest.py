@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from insumo.operators import resolve
+from insumo.operators import features, nearest, resolve
 
 
 def shuffled(spark, made):
@@ -22,6 +24,9 @@ def test_rows_of_one_kind_and_size_make_no_table_of_pairs(spark):
     p = spark.createDataFrame([(f"{i:04}", f"Chapa inox lisa 2 mm x{i % 7:02}", "") for i in range(1000)], "id string, name string, code string")
     n, got = shuffled(spark, lambda: resolve.similar_products(p, p))
     assert len(got) == 5000 and n < 50_000
+    q = p.select(F.col("id").alias("qid"), F.col("name").alias("text"))
+    n, got = shuffled(spark, lambda: features.matches(q, p.select("id", "name")))
+    assert len(got) == 5000 and n < 50_000
 
 
 def test_rows_of_one_code(spark):
@@ -30,6 +35,24 @@ def test_rows_of_one_code(spark):
     assert got == {("03", 1): "00", ("03", 2): "01", ("03", 3): "01", ("03", 4): "02"}
 
 
+def test_blocks_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 8)
+    r = random.Random(7)
+    text = lambda: f"{r.choice(['Chapa', 'Chapa', 'Tubo', 'Cabo', 'Peça', ''])} {r.choice(['inox', 'pvc', ''])} {r.choice(['304', '304L', '316', ''])} {r.choice(['lisa', 'fina'])} {r.choice(['2 mm', '2,01 mm', '3 x 4 m', ''])} {r.choice(['alfa', 'beta', 'gama'])}"
+    q = spark.createDataFrame([(f"q{i:02}", text()) for i in range(30)] + [(None, "Chapa"), ("q98", None), ("q99", "")], "qid string, text string")
+    c = spark.createDataFrame([(f"c{i:03}", text(), r.random() < 0.3) for i in range(120)] + [(None, "Chapa", True), ("c998", None, None)], "id string, name string, preferred boolean")
+    cols = ["kind", "material", "alloys", "tokens", "dims"]
+    dq = features.described(q, "text").filter("qid is not null").select("qid", F.struct(*cols).alias("q"))
+    dc = features.described(c, "name").filter("id is not null").select("id", F.coalesce("preferred", F.lit(False)).alias("preferred"), F.struct(*cols).alias("c"))
+    every = dq.crossJoin(dc).select("qid", "id", "preferred", features.match_score("q", "c").alias("score")).filter("score >= 45").collect()
+    want = set()
+    for k in {x.qid for x in every}:
+        for i, x in enumerate(sorted((x for x in every if x.qid == k), key=lambda x: (-x.score, not x.preferred, x.id))[:3]):
+            want.add((k, i + 1, x.id, x.score))
+    got = features.matches(q, c, n=3).collect()
+    assert {(x.qid, x.rank_no, x.id, x.score) for x in got} == want and len(got) == len(want) > 60
+
+
 def test_similarity_is_rounded_as_decimals_are(spark):
     # 0.25 + 0.3 * 3 / 16 is 0.30625
     import numpy as np
