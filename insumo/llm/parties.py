@@ -113,7 +113,8 @@ def _shortened(text: Column) -> Column:
     third = lambda d: F.floor((n + d) / 3).cast("int")
     pieces = F.array(*(F.substring(text, third(d) * i + 1 + by, third(d)) for d in range(-2, 3) for i in range(3) for by in range(-2, 3)))
     forms = F.when(n < 7, own).when(n < 10, F.concat(own, one)).when(n <= 30, F.concat(own, one, two)).when(n <= 32, F.concat(own, one, two, pieces)).otherwise(pieces)
-    return F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x)))
+    # 40 bits are less to shuffle; equal ones of different forms only add a pair to check
+    return F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 40) - 1))))
 
 
 def _slips(names: DataFrame) -> DataFrame:
@@ -121,6 +122,8 @@ def _slips(names: DataFrame) -> DataFrame:
     order of the words: one under ten letters, none under seven.
 
     They are met by what slips leave of them, which hardly any other spelling has; a common n-gram of four letters brings none together."""
+    # the forms are many times the names, so that few partitions of names would be few long tasks
+    names = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core")
     both = names.select("core", F.xxhash64("core").bitwiseAND(F.lit(-2)).alias("h"), F.replace("core", F.lit(" "), F.lit("")).alias("s"), F.array_join(F.reverse(F.split("core", " ")), "").alias("r"))
     # the lowest bit of code: the words in reverse
     sides = both.select(F.explode(F.when(F.col("s") == F.col("r"), F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")))).otherwise(F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")), F.struct(F.col("r").alias("t"), (F.col("h") + 1).alias("code"))))).alias("e"))
