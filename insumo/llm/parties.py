@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,15 +78,17 @@ def _grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
 
 
 def _vectors(names: DataFrame) -> DataFrame:
-    """core, v, n2: the n-grams of each spelling, the rarest first, as numbers that hold the squared weight in their low 16 bits, and
-    the squared norm. Arrays of plain numbers are intersected in compiled code, and the weights come along."""
+    """core, v, n2, own: the n-grams of each spelling, the rarest first, as numbers that hold the squared weight in their low 16 bits,
+    the squared norm, and how many of the first no other spelling has. Arrays of plain numbers are intersected in compiled code,
+    and the weights come along."""
     grams = names.select("core", F.explode(_grams(F.col("core"))).alias("g"))
     df = grams.groupBy("g").agg(F.count("*").alias("df"))
     weight = F.round(F.pow(F.log(F.col("n") / F.col("df")), 2) * 256).cast("long")
     total = names.agg((F.count("*") + 1).alias("n"))
-    coded = df.crossJoin(F.broadcast(total)).select("g", F.least(weight, F.lit(65535)).alias("w")).select("g", "w", F.shiftleft("g", 16).bitwiseOR(F.col("w")).alias("code"))
-    v = grams.join(coded, "g").groupBy("core").agg(F.collect_list(F.struct((-F.col("w")).alias("w"), "code")).alias("v"))
-    v = v.select("core", F.transform(F.array_sort("v"), lambda x: x["code"]).alias("v"))
+    coded = df.crossJoin(F.broadcast(total)).select("g", "df", F.least(weight, F.lit(65535)).alias("w")).select("g", ((F.col("df") == 1) & (F.col("w") < 65535)).alias("own"), F.shiftleft("g", 16).bitwiseOR(F.col("w")).alias("code"))
+    # the weight is in the code, so codes alone are shuffled; those of greatest weight, if it isn't cut, are of one spelling
+    v = grams.join(coded, "g").groupBy("core").agg(F.collect_list("code").alias("v"), F.count_if("own").cast("int").alias("own"))
+    v = v.select("core", "own", F.transform(F.array_sort(F.transform("v", lambda x: F.struct((-x.bitwiseAND(F.lit(65535))).alias("w"), x.alias("code")))), lambda x: x["code"]).alias("v"))
     return v.withColumn("n2", _norm2(F.col("v"))).filter("n2 > 0")
 
 
@@ -94,11 +97,12 @@ def _norm2(v: Column) -> Column:
 
 
 def _postings(vectors: DataFrame, least: float) -> DataFrame:
-    """A row for each n-gram of a vector's prefix: what is left behind the prefix has less than `least` times the norm. left: the squared
-    weight from this n-gram on."""
+    """A row for each n-gram of a vector's prefix that another vector has too: what is left behind the prefix has less than `least` times
+    the norm. left: the squared weight from this n-gram on."""
     prefix = F.aggregate("v", F.struct(F.col("n2").alias("left"), F.lit(0).alias("n")), lambda s, x: F.when(s["left"] < least * least * F.col("n2"), s).otherwise(F.struct((s["left"] - x.bitwiseAND(F.lit(65535))).alias("left"), (s["n"] + 1).alias("n"))), lambda s: s["n"])
-    each = vectors.select("core", "v", "n2", F.posexplode(F.slice("v", F.lit(1), F.greatest(F.lit(1), prefix))).alias("at", "g"))
-    return each.select("core", "v", "n2", "g", (F.col("n2") - _norm2(F.slice("v", F.lit(1), F.col("at")))).alias("left"))
+    shared = F.slice("v", F.col("own") + 1, F.greatest(F.lit(0), F.greatest(F.lit(1), prefix) - F.col("own")))
+    each = vectors.select("core", "v", "n2", "own", F.posexplode(shared).alias("at", "g"))
+    return each.select("core", "v", "n2", "g", (F.col("n2") - _norm2(F.slice("v", F.lit(1), F.col("own") + F.col("at")))).alias("left"))
 
 
 def _shortened(text: Column) -> Column:
@@ -122,15 +126,18 @@ def _slips(names: DataFrame) -> DataFrame:
     order of the words: one under ten letters, none under seven.
 
     They are met by what slips leave of them, which hardly any other spelling has; a common n-gram of four letters brings none together."""
+    # short numbers for the names, as each is shuffled with all of its forms; the lowest bit is kept free
+    both = saved(names.select((F.monotonically_increasing_id() * 2).alias("h"), "core", F.replace("core", F.lit(" "), F.lit("")).alias("s"), F.array_join(F.reverse(F.split("core", " ")), "").alias("r")), "names")
     # the forms are many times the names, so that few partitions of names would be few long tasks
-    names = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core")
-    both = names.select("core", F.xxhash64("core").bitwiseAND(F.lit(-2)).alias("h"), F.replace("core", F.lit(" "), F.lit("")).alias("s"), F.array_join(F.reverse(F.split("core", " ")), "").alias("r"))
+    spread = both.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
     # the lowest bit of code: the words in reverse
-    sides = both.select(F.explode(F.when(F.col("s") == F.col("r"), F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")))).otherwise(F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")), F.struct(F.col("r").alias("t"), (F.col("h") + 1).alias("code"))))).alias("e"))
+    sides = spread.select(F.explode(F.when(F.col("s") == F.col("r"), F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")))).otherwise(F.array(F.struct(F.col("s").alias("t"), F.col("h").alias("code")), F.struct(F.col("r").alias("t"), (F.col("h") + 1).alias("code"))))).alias("e"))
     forms = sides.select(F.col("e.code").alias("code"), F.explode(_shortened(F.col("e.t"))).alias("form"))
     reverse = F.col("x.code").bitwiseAND(F.col("y.code")).bitwiseAND(F.lit(1)) == 1
     bare = lambda c: F.col(c).bitwiseAND(F.lit(-2))
     met = forms.alias("x").join(forms.alias("y").hint("merge"), (F.col("x.form") == F.col("y.form")) & (F.col("x.code") < F.col("y.code")) & (bare("x.code") != bare("y.code")) & ~reverse).select(bare("x.code").alias("hx"), bare("y.code").alias("hy")).distinct()
+    # by itself, so that the forms aren't on disk together with what else links need
+    met = saved(met, "met", release=True)
     side = lambda c: both.select(F.col("h").alias(f"h{c}"), F.struct("core", "s", "r").alias(c))
     pairs = met.join(side("x"), "hx").join(side("y"), "hy")
     # the function gives -1 beyond its threshold
@@ -217,36 +224,55 @@ def average_linkage(clusters: DataFrame, edges: DataFrame, least: float = JOINED
 
     Each round, every group picks the group with the largest average cosine of their spellings (pairs without an edge count
     `unlinked`), and pairs of groups that pick each other are joined if it is at least `least`; joining such pairs at once
-    gives the same as one by one. Rounds end when none is joined; each is a few joins over tables as long as the edges. A hub
-    with many variants takes in one a round: what is left to join after `rounds` goes through the same rounds, to their end,
-    within each component of groups that can still be joined (an average of averages is never above both)."""
-    state = saved(clusters, "clusters")
-    sizes = lambda s: s.groupBy("party").agg(F.count("*").alias("n"))
-
-    def averages(state: DataFrame) -> DataFrame:
-        sums = edges.join(state.select(F.col("core").alias("a"), F.col("party").alias("p")), "a").join(state.select(F.col("core").alias("b"), F.col("party").alias("q")), "b").filter("p <> q")
-        sums = sums.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.sum(F.col("cosine") - unlinked).alias("over"))
-        n = sizes(state)
-        avg = sums.join(n.select(F.col("party").alias("p"), F.col("n").alias("np")), "p").join(n.select(F.col("party").alias("q"), F.col("n").alias("nq")), "q")
-        return avg.withColumn("avg", F.lit(unlinked) + F.col("over") / (F.col("np") * F.col("nq")))
-
+    gives the same as one by one. Rounds end when none is joined. Edges are summed by pairs of groups once; a round then adds up
+    the sums of the groups it joined, and leaves out groups without a partner in reach, which get none later (an average of
+    averages is never above both), so each is a few joins over what can still be joined. A hub with many variants takes in
+    one a round: what is left to join after `rounds` goes through the same rounds, to their end, within each component of
+    groups that can still be joined."""
+    of = lambda edge, group: clusters.select(F.col("core").alias(edge), F.col("party").alias(group))
+    sizes = clusters.groupBy("party").agg(F.count("*").alias("n"))
+    sums = edges.join(of("a", "p"), "a").join(of("b", "q"), "b").filter("p <> q").groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.sum(F.col("cosine") - unlinked).alias("over"))
+    sums = saved(sums.join(sizes.select(F.col("party").alias("p"), F.col("n").alias("np")), "p").join(sizes.select(F.col("party").alias("q"), F.col("n").alias("nq")), "q").select("p", "q", "over", "np", "nq"), "averages")
+    avg = F.lit(unlinked) + F.col("over") / (F.col("np") * F.col("nq"))
+    joined = []
     for _ in range(rounds):
-        avg = saved(averages(state).select("p", "q", "avg").filter(F.col("avg") >= least), "averages")
-        both = avg.select("p", "q", "avg").union(avg.select(F.col("q").alias("p"), F.col("p").alias("q"), "avg"))
-        best = both.groupBy("p").agg(F.max(F.struct(F.col("avg"), F.col("q"))).alias("best")).select("p", F.col("best.q").alias("q"))
-        merged = best.alias("l").join(best.alias("r"), (F.col("l.q") == F.col("r.p")) & (F.col("r.q") == F.col("l.p"))).filter("l.p > l.q").select(F.col("l.p").alias("party"), F.col("l.q").alias("into"))
-        new = saved(state.join(merged, "party", "left").select("core", F.coalesce("into", "party").alias("party"), F.col("into").isNotNull().alias("moved")), "clusters")
+        near = sums.filter(avg >= least).select("p", "q", avg.alias("avg"), "np", "nq")
+        both = near.select("p", "q", "avg", F.col("np").alias("n")).union(near.select(F.col("q").alias("p"), F.col("p").alias("q"), "avg", F.col("nq").alias("n")))
+        best = both.groupBy("p").agg(F.max(F.struct("avg", "q")).alias("best"), F.max("n").alias("n")).select("p", F.col("best.q").alias("q"), "n")
+        mutual = F.col("r.q") == F.col("l.p")
+        groups = best.alias("l").join(best.alias("r"), F.col("l.q") == F.col("r.p")).select(F.col("l.p").alias("party"), F.when(mutual, F.least("l.p", "l.q")).otherwise(F.col("l.p")).alias("into"), F.when(mutual, F.col("l.n") + F.col("r.n")).otherwise(F.col("l.n")).alias("n"))
+        groups = saved(groups, "groups")
+        if not groups.filter("party <> into").limit(1).count():
+            forget(groups)
+            break
+        joined.append(groups)
+        side = lambda g: groups.select(F.col("party").alias(g), F.struct(F.col("into").alias("g"), "n").alias(f"of_{g}"))  # noqa: B023, E731
+        moved = sums.select("p", "q", "over").join(side("p"), "p").join(side("q"), "q").filter("of_p.g <> of_q.g").select(F.least("of_p", "of_q").alias("p"), F.greatest("of_p", "of_q").alias("q"), "over")
+        new = saved(moved.groupBy(F.col("p.g").alias("p"), F.col("q.g").alias("q")).agg(F.sum("over").alias("over"), F.max("p.n").alias("np"), F.max("q.n").alias("nq")), "averages")
+        forget(sums)
+        sums = new
+    else:
+        label = components(sums.filter(avg >= least).select(F.col("p").alias("x"), F.col("q").alias("y")))
+        within = sums.join(label.select(F.col("node").alias("p"), "label"), "p").join(label.select(F.col("node").alias("q"), "label"), ["q", "label"])
+        joined.append(within.select("label", "p", "q", "over", "np", "nq").groupBy("label").applyInPandas(_joined(least, unlinked), "party string, into string"))
+    moves = [j.filter("party <> into").select("party", "into") for j in joined]
+    if not moves:
+        forget(sums)
+        return saved(clusters.select("core", "party"), "clusters")
+    # a group goes into another once; that may go on, until the last
+    last = saved(reduce(DataFrame.union, moves), "moves")
+    forget(sums, *joined)
+    while True:
+        on = last.join(last.select(F.col("party").alias("into"), F.col("into").alias("up")), "into", "left")
+        new = saved(on.select("party", F.coalesce("up", "into").alias("into"), F.col("up").isNotNull().alias("moved")), "moves")
         moved = new.filter("moved").limit(1).count()
-        forget(state, avg)
-        state = new.drop("moved")
-        state.saved_at = new.saved_at
+        forget(last)
+        last = new
         if not moved:
-            return state
-    rest = saved(averages(state), "averages")
-    label = components(rest.filter(F.col("avg") >= least).select(F.col("p").alias("x"), F.col("q").alias("y")))
-    within = rest.join(label.select(F.col("node").alias("p"), "label"), "p").join(label.select(F.col("node").alias("q"), "label"), ["q", "label"])
-    merged = within.select("label", "p", "q", "over", "np", "nq").groupBy("label").applyInPandas(_joined(least, unlinked), "party string, into string")
-    return saved(state.join(merged, "party", "left").select("core", F.coalesce("into", "party").alias("party")), "clusters")
+            break
+    state = saved(clusters.join(last.select("party", "into"), "party", "left").select("core", F.coalesce("into", "party").alias("party")), "clusters")
+    forget(last)
+    return state
 
 
 def parties(records: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

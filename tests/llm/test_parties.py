@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from insumo.llm import parties
+from insumo.sources.shared import RELEASE
 
 
 @pytest.mark.parametrize("name, want", [("Abrasivos Cacife Secume ME", "cacife secume"), ("TosebiDucigo - Mat. Elétr. - Filial 2", "ducigo tosebi"), ("Sr(a). Toninho FipunolGifusi", "fipunol gifusi"), ("Legacan Napifu - Ferragens - Lagoa Funda Nova", "legacan napifu"), ("Parаfusos Mesunan Bepati EPP", "bepati mesunan"), ("Grupo Decusofe", "decusofe"), ("LTDA", None), ("", None), (None, None)])
@@ -125,3 +126,32 @@ def test_slips_are_met_by_what_they_leave(spark):
     hot = spark.createDataFrame([(f"distribuidora {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}",) for i in range(600)], "core string")
     forms = hot.select("core", F.explode(parties._shortened(F.replace("core", F.lit(" "), F.lit("")))).alias("f"))
     assert forms.groupBy("f").count().filter("count > 1").count() == 0
+
+
+def test_ngrams_of_one_spelling_are_not_posted(spark):
+    names = spark.createDataFrame([(n,) for n in ("bacelo dufami", "bacelo dufamo", "gitopa zurine")], "core string")
+    v = parties._vectors(names).cache()
+    held = {(r.core, g) for r in v.collect() for g in r.v}
+    posted = {(r.core, r.g) for r in parties._postings(v, 0.7).collect()}
+    shared = {g for _, g in held if len({c for c, x in held if x == g}) > 1}
+    assert posted <= held and {g for _, g in posted} <= shared and {c for c, _ in posted} == {"bacelo dufami", "bacelo dufamo"}
+
+
+def test_forms_leave_the_disk_once_slips_are_met(spark):
+    import random
+    import time
+    from pathlib import Path
+
+    r = random.Random(4)
+    names = sorted({"".join(r.choice("bcdfghjlm") + r.choice("aeiou") for _ in range(9)) for _ in range(2000)})
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p: p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    before, was = set(files()), spark.conf.get(RELEASE)
+    parties._slips(spark.createDataFrame([(n,) for n in names], "core string")).collect()
+    for _ in range(20):
+        left = sum(n for p, n in files().items() if p not in before)
+        if left < 1_000_000:
+            break
+        time.sleep(0.5)
+    # 171 forms a name are some 4 MB
+    assert left < 1_000_000 and spark.conf.get(RELEASE) == was
